@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dashboard, graph, graph_loops, profile, trace
 from ..sources.fixtures import AS_OF, tables
-from .common import grid, scored
+from .common import scored
 from .oracle import add_blocks
 from .registry import query
 
@@ -113,7 +113,7 @@ FROM (SELECT seed, path_nodes, unnest(range(1, len(path_nodes) + 1)) AS i FROM t
 LEFT JOIN risk_grid r ON path_nodes[i] = concat('user_', CAST(r.user_id AS STRING))""",
         "ch_scored": """
 SELECT a.fraud_node_id, CAST(a.pos AS INT) AS pos, a.node, a.phi, a.phi * exp(avg(ln(greatest(b.phi, 1e-9)))) AS backward_score
-FROM ch_nodes a JOIN ch_nodes b ON a.fraud_node_id = b.fraud_node_id AND b.pos >= a.pos GROUP BY ALL""",
+FROM ch_nodes a JOIN ch_nodes b ON a.fraud_node_id = b.fraud_node_id AND b.pos >= a.pos GROUP BY a.fraud_node_id, a.pos, a.node, a.phi""",
         "nm_nodes": """
 SELECT concat('user_', CAST(user_id AS STRING)) AS node_id, age, CAST(has_kyc_level2 AS DOUBLE) AS has_kyc_level2 FROM f_user
 UNION ALL SELECT node_id, 0.0, 0.0 FROM g_nodes WHERE node_type = 'wallet'""",
@@ -334,14 +334,13 @@ def _(spark, sf):
     "fraud_chains",
     """SELECT seed AS fraud_node_id, node AS source_node_id, CASE WHEN starts_with(node, 'wallet_') THEN 'wallet' ELSE 'user' END AS source_node_type,
   to_json(path_nodes)::VARCHAR AS path_nodes, hop_count, earliest AS earliest_tx_time, total AS total_amount_twd,
-  round(source_risk_score, 4) AS source_risk_score, score AS causal_confidence FROM tr_best""",
+  round(source_risk_score, 4) AS source_risk_score, round(score, 4) AS causal_confidence FROM tr_best""",
     money="total_amount_twd",
-    ratio="source_risk_score",
+    ratio="source_risk_score causal_confidence",
 )
 def _(spark, sf):
-    chains = _trace(spark, sf)
-    flat = trace.fraud_chains(chains).drop("path_edges", "causal_confidence")
-    return flat.join(chains.select("fraud_node_id", grid(F.col("score")).alias("causal_confidence")), "fraud_node_id")
+    # the edge list is checked field by field through edge_causal_score
+    return trace.fraud_chains(_trace(spark, sf)).drop("path_edges")
 
 
 @query(

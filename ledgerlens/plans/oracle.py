@@ -276,14 +276,14 @@ def _mentions(sql: str) -> list[str]:
 def compose(sql: str) -> str:
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, own: str | None) -> None:
         for name in _mentions(text):
-            if name not in needed:
-                visit(BLOCKS[name])
-                if name not in needed:
-                    needed.append(name)
+            # a recursive block names itself
+            if name != own and name not in needed:
+                visit(BLOCKS[name], name)
+                needed.append(name)
 
-    visit(sql)
+    visit(sql, None)
     if not needed:
         return sql
     ctes = ",\n".join(f"{n} AS ({BLOCKS[n].strip()})" for n in needed)
