@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scoring import meta_features
+from .neighbors import standardize
+from .scoring import binary_metrics, meta_features
 
 # Seed, fold count, correlation limit, attributes not used for training.
 SEED, FOLDS, MAX_CORRELATION = 42, 5, 0.95
@@ -271,11 +272,30 @@ def select_features(df: DataFrame, cols: list[str], limit: float = MAX_CORRELATI
 
 
 def scale_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, robust: bool = False) -> DataFrame:
-    """(user_id, scaled array) by mean and deviation, or by median and quartiles."""
-    cls = RobustScaler if robust else StandardScaler
-    extra = {"withCentering": True, "withScaling": True} if robust else {"withMean": True, "withStd": True}
-    scaler = cls(inputCol="features", outputCol="scaled", **extra).fit(assemble(fit_on if fit_on is not None else df, cols))
-    return scaler.transform(assemble(df, cols)).select("user_id", vector_to_array("scaled").alias("scaled"))
+    """(user_id, scaled array) by mean and population deviation, or by median and quartiles."""
+    if not robust:
+        return standardize(df, cols, fit_on).withColumnRenamed("vec", "scaled")
+    scaler = RobustScaler(inputCol="features", outputCol="scaled", withCentering=True, withScaling=True)
+    fitted = scaler.fit(assemble(fit_on if fit_on is not None else df, cols))
+    return fitted.transform(assemble(df, cols)).select("user_id", vector_to_array("scaled").alias("scaled"))
+
+
+def ablation(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], rounds: int = 50) -> DataFrame:
+    """Metrics of one learner per feature set with the change against the first set."""
+    parts = None
+    for i, (name, cols) in enumerate(configs.items()):
+        fitted = learners(rounds)["boost_c"].fit(cut_lineage(class_weight(assemble(train, cols))))
+        scored = positive_probability(fitted.transform(assemble(test, cols)), "risk_score")
+        row = binary_metrics(scored.select("status", "risk_score")).select(F.lit(i).alias("no"), F.lit(name).alias("config"), "*")
+        parts = row if parts is None else parts.unionByName(row)
+    rows = cut_lineage(parts)
+    base = rows.where("no = 0").select(F.col("auc_pr").alias("base_auc_pr"), F.col("f1").alias("base_f1")).first()
+    return rows.withColumns({"delta_auc_pr": F.col("auc_pr") - base["base_auc_pr"], "delta_f1": F.col("f1") - base["base_f1"]})
+
+
+def submission(scores: DataFrame, threshold: float) -> DataFrame:
+    """user_id, score and the 0/1 status to hand in."""
+    return scores.select("user_id", "risk_score", (F.col("risk_score") >= threshold).cast("int").alias("status"))
 
 
 def graph_embedding(df: DataFrame, cols: list[str], size: int = EMBEDDING_SIZE, key: str = "node_id", fit_on: DataFrame | None = None) -> DataFrame:

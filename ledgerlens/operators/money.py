@@ -29,7 +29,12 @@ def _non_null_share(col: str, cond: Column) -> Column:
     return F.avg(F.when(cond, F.col(col).isNotNull().cast("double")))
 
 
-IN, OUT = F.col("kind") == 0, F.col("kind") == 1
+def _came_in() -> Column:
+    return F.col("kind") == 0
+
+
+def _went_out() -> Column:
+    return F.col("kind") == 1
 
 
 def twd_features(fiat: DataFrame, cap: float | None = 10.0, net_flow: bool = True) -> DataFrame:
@@ -38,9 +43,9 @@ def twd_features(fiat: DataFrame, cap: float | None = 10.0, net_flow: bool = Tru
         fiat.where(F.col("kind").isin(0, 1))
         .groupBy("user_id")
         .agg(
-            *_side(amount, IN, "twd_dep", True),
-            *_side(amount, OUT, "twd_wit", True),
-            _non_null_share("source_ip_hash", OUT).alias("twd_wit_ip_ratio"),
+            *_side(amount, _came_in(), "twd_dep", True),
+            *_side(amount, _went_out(), "twd_wit", True),
+            _non_null_share("source_ip_hash", _went_out()).alias("twd_wit_ip_ratio"),
         )
     )
     ratio = F.col("twd_wit_sum") / (F.col("twd_dep_sum") + EPS)
@@ -63,12 +68,12 @@ def _crypto_base(crypto: DataFrame, extra: list[Column]) -> DataFrame:
     amount = amount_twd("ori_samount", "twd_srate")
     internal = F.col("sub_kind") == 1
     return crypto.groupBy("user_id").agg(
-        *_side(amount, IN, "crypto_dep", False),
-        *_side(amount, OUT, "crypto_wit", False),
+        *_side(amount, _came_in(), "crypto_dep", False),
+        *_side(amount, _went_out(), "crypto_wit", False),
         F.count_distinct("currency").alias("crypto_currency_diversity"),
         F.count_distinct("protocol").alias("crypto_protocol_diversity"),
         F.count_distinct(F.when(internal, F.col("relation_user_id"))).alias("crypto_internal_peer_count"),
-        _non_null_share("source_ip_hash", OUT).alias("crypto_wit_ip_ratio"),
+        _non_null_share("source_ip_hash", _went_out()).alias("crypto_wit_ip_ratio"),
         F.count_if(F.col("kind").isin(0, 1)).alias("_known"),
         *extra,
     )
@@ -79,7 +84,7 @@ def crypto_features(crypto: DataFrame) -> DataFrame:
     base = _crypto_base(
         crypto,
         [
-            F.count_if((F.col("sub_kind") == 0) & OUT).alias("crypto_external_wit_count"),
+            F.count_if((F.col("sub_kind") == 0) & _went_out()).alias("crypto_external_wit_count"),
             F.count_if(F.col("sub_kind") == 1).alias("crypto_internal_count"),
         ],
     )
@@ -95,7 +100,7 @@ def crypto_features(crypto: DataFrame) -> DataFrame:
 def crypto_features_lite(crypto: DataFrame) -> DataFrame:
     """Variant without wallet, internal and external counts."""
     extra = [
-        F.count_if((F.col("sub_kind") == 0) & OUT).alias("crypto_external_wit_count"),
+        F.count_if((F.col("sub_kind") == 0) & _went_out()).alias("crypto_external_wit_count"),
     ]
     return fill_zero(_crypto_base(crypto, extra).where(F.col("_known") > 0).drop("_known"))
 

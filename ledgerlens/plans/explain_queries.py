@@ -75,7 +75,7 @@ SELECT feature, mean_abs_shap, frequency, CAST(row_number() OVER (ORDER BY mean_
 SELECT user_id, (1 - has_kyc_level2) * 0.30::DOUBLE AS k, twd_withdraw_ratio * 0.25::DOUBLE AS w, ip_night_ratio * 0.15::DOUBLE AS n,
   crypto_currency_diversity * 0.10::DOUBLE AS c, career_income_risk * 0.20::DOUBLE AS r, twd_withdraw_ratio, ip_night_ratio, crypto_currency_diversity FROM f_mart_lite""",
         "cf_rows": """
-SELECT user_id, feature, round(cur, 4) AS current, 0.0::DOUBLE AS target, round(round(d, 9), 4) AS score_drop FROM (
+SELECT user_id, feature, round(cur, 4) AS current, 0.0::DOUBLE AS target, CAST(round(CAST(d AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score_drop FROM (
   SELECT user_id, 'twd_withdraw_ratio' AS feature, CAST(twd_withdraw_ratio AS DOUBLE) AS cur, least(greatest(k+w+n+c+r, 0), 1) - least(greatest(k+n+c+r, 0), 1) AS d FROM cf_base
   UNION ALL SELECT user_id, 'ip_night_ratio', ip_night_ratio, least(greatest(k+w+n+c+r, 0), 1) - least(greatest(k+w+c+r, 0), 1) FROM cf_base
   UNION ALL SELECT user_id, 'crypto_currency_diversity', crypto_currency_diversity, least(greatest(k+w+n+c+r, 0), 1) - least(greatest(k+w+n+r, 0), 1) FROM cf_base)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, graph, graph_loops, profile, trace
+from ..operators import dashboard, graph, graph_loops, mart, profile, trace
 from ..sources.fixtures import AS_OF, tables
+from . import feature_queries as fq
 from .common import scored
 from .oracle import add_blocks
 from .registry import query
@@ -114,6 +115,16 @@ LEFT JOIN risk_grid r ON path_nodes[i] = concat('user_', CAST(r.user_id AS STRIN
         "ch_scored": """
 SELECT a.fraud_node_id, CAST(a.pos AS INT) AS pos, a.node, a.phi, a.phi * exp(avg(ln(greatest(b.phi, 1e-9)))) AS backward_score
 FROM ch_nodes a JOIN ch_nodes b ON a.fraud_node_id = b.fraud_node_id AND b.pos >= a.pos GROUP BY a.fraud_node_id, a.pos, a.node, a.phi""",
+        "mart_full0": """
+SELECT u.*, COLUMNS(t.* EXCLUDE (user_id)), COLUMNS(c.* EXCLUDE (user_id)), COLUMNS(b.* EXCLUDE (user_id)), COLUMNS(i.* EXCLUDE (user_id)),
+  s.fund_stay_sec, r.rk AS pagerank_score, d.graph_in_degree, d.graph_out_degree, k.connected_component_size,
+  COLUMNS(x.* EXCLUDE (user_id)), COLUMNS(f.* EXCLUDE (user_id)), COLUMNS(m.* EXCLUDE (user_id))
+FROM f_user u LEFT JOIN f_twd t ON u.user_id = t.user_id LEFT JOIN f_crypto c ON u.user_id = c.user_id
+LEFT JOIN f_trading b ON u.user_id = b.user_id LEFT JOIN f_ip i ON u.user_id = i.user_id LEFT JOIN f_stay s ON u.user_id = s.user_id
+LEFT JOIN (SELECT node, rk FROM p_rank WHERE it = (SELECT max(it) FROM p_rank)) r ON r.node = u.user_id
+LEFT JOIN p_degree d ON d.node = u.user_id LEFT JOIN p_comp k ON k.node = u.user_id
+LEFT JOIN f_cross x ON u.user_id = x.user_id LEFT JOIN f_red f ON u.user_id = f.user_id LEFT JOIN f_temporal m ON u.user_id = m.user_id""",
+        "mart_full1": "SELECT user_id, coalesce(COLUMNS(* EXCLUDE (user_id)), 0) FROM mart_full0",
         "nm_nodes": """
 SELECT concat('user_', CAST(user_id AS STRING)) AS node_id, age, CAST(has_kyc_level2 AS DOUBLE) AS has_kyc_level2 FROM f_user
 UNION ALL SELECT node_id, 0.0, 0.0 FROM g_nodes WHERE node_type = 'wallet'""",
@@ -290,6 +301,35 @@ def _(spark, sf):
     return _subgraph(spark, sf)[1]
 
 
+MART_MONEY = f"{fq.TWD_MONEY} twd_net_flow {fq.CRYPTO_MONEY} {fq.TRADE_MONEY} {fq.TIME_MONEY}"
+MART_RATIO = (
+    f"{fq.USER_RATIO} twd_withdraw_ratio twd_wit_ip_ratio crypto_wit_ip_ratio {fq.TRADE_RATIO} ip_night_ratio fund_stay_sec"
+    f" {fq.CROSS_RATIO} {fq.RED_RATIO} amount_p90_p10_ratio composite_risk_score"
+)
+
+
+@query(
+    "feature_mart",
+    """SELECT *, least(greatest((1 - has_kyc_level2) * 0.30::DOUBLE + twd_withdraw_ratio * 0.25::DOUBLE + ip_night_ratio * 0.15::DOUBLE
+  + crypto_currency_diversity * 0.10::DOUBLE + career_income_risk * 0.20::DOUBLE, 0), 1) AS composite_risk_score FROM mart_full1""",
+    money=MART_MONEY,
+    ratio=MART_RATIO,
+    fine="pagerank_score",
+)
+def _(spark, sf):
+    """Everything SQL can state; the sampled centrality is in feature_mart_full."""
+    edges, nodes = _peers(spark, sf)
+    sizes = graph_loops.component_size(graph_loops.components(edges, nodes))
+    ranks = graph_loops.pagerank(edges, nodes).withColumnRenamed("rank", "pagerank_score")
+    frame = ranks.join(graph.graph_degree(edges, nodes), "node").join(sizes, "node").withColumnRenamed("node", "user_id")
+    return mart.feature_mart(tables(spark, sf), AS_OF, frame)
+
+
+@query("feature_mart_full", money=MART_MONEY, ratio=MART_RATIO, fine="pagerank_score betweenness_centrality")
+def _(spark, sf):
+    return mart.feature_mart(tables(spark, sf), AS_OF, graph_loops.graph_features(*_peers(spark, sf)))
+
+
 # ---- tracing ----
 
 
