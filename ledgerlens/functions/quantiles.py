@@ -15,12 +15,13 @@ DIGIT_BITS = 21
 HEAVY_AFTER = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: str, limit: int = HEAVY_AFTER) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None when there are none.
+def heavy_keys(df: DataFrame, key: str, limit: int = HEAVY_AFTER, weight: str | None = None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows (or weight), or None when there are none.
 
     One count per key over a single column; the answer decides which plan is built.
     """
-    heavy = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key)
+    size = F.count("*") if weight is None else F.sum(weight)
+    heavy = df.groupBy(key).agg(size.alias("_n")).where(F.col("_n") > limit).select(key)
     return None if heavy.isEmpty() else heavy
 
 

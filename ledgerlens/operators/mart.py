@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import composite_risk, composite_risk_v2
 from ..functions.scalars import fill_zero
+from ..session import cut_lineage
 from .addresses import ip_features
 from .flows import fund_stay, red_flag_features
 from .money import (
@@ -17,7 +18,7 @@ from .money import (
     twd_features_lite,
 )
 from .profile import user_features, user_features_lite
-from .timing import cross_table_features, temporal_features, unified_tx
+from .timing import cross_table_features, temporal_features, tx_instants, unified_tx
 
 
 def _left_chain(users: DataFrame, parts: list[DataFrame]) -> DataFrame:
@@ -32,15 +33,16 @@ def feature_mart(tables, as_of: str, graph: DataFrame | None = None) -> DataFram
     """user_id and the full feature set; pass the graph feature frame to include its five columns."""
     t = tables
     tx = unified_tx(t.fiat, t.crypto, t.trades, t.swaps)
+    instants = cut_lineage(tx_instants(tx))
     parts = [
         twd_features(t.fiat),
         crypto_features(t.crypto),
         trading_features(t.trades, t.swaps),
         ip_features(t.fiat, t.crypto, t.trades),
         fund_stay(t.fiat, t.crypto),
-        cross_table_features(tx),
+        cross_table_features(instants),
         red_flag_features(t.users, t.fiat, t.crypto),
-        temporal_features(t.users, tx),
+        temporal_features(t.users, tx, instants),
     ]
     if graph is not None:
         parts.insert(5, graph)

@@ -64,45 +64,62 @@ def twd_features_lite(fiat: DataFrame) -> DataFrame:
     return twd_features(fiat, cap=None, net_flow=False)
 
 
-def _crypto_base(crypto: DataFrame, extra: list[Column]) -> DataFrame:
+def _crypto_base(crypto: DataFrame) -> DataFrame:
+    """Aggregates and the distinct counts of the two short code columns.
+
+    The first level groups by (user, currency, protocol): it spreads a busy user over
+    its currencies and leaves so few rows that counting distinct codes is cheap.
+    """
     amount = amount_twd("ori_samount", "twd_srate")
-    internal = F.col("sub_kind") == 1
-    return crypto.groupBy("user_id").agg(
-        *_side(amount, _came_in(), "crypto_dep", False),
-        *_side(amount, _went_out(), "crypto_wit", False),
+    side = {"crypto_dep": F.when(_came_in(), amount), "crypto_wit": F.when(_went_out(), amount)}
+    fine = crypto.groupBy("user_id", "currency", "protocol").agg(
+        *[f(v).alias(f"{p}_{n}") for p, v in side.items() for n, f in (("count", F.count), ("sum", F.sum), ("max", F.max))],
+        F.count_if(_went_out()).alias("_out"),
+        F.count_if(_went_out() & F.col("source_ip_hash").isNotNull()).alias("_out_ip"),
+        F.count_if((F.col("sub_kind") == 0) & _went_out()).alias("crypto_external_wit_count"),
+        F.count_if(F.col("sub_kind") == 1).alias("crypto_internal_count"),
+        F.count_if(F.col("kind").isin(0, 1)).alias("_known"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    base = fine.groupBy("user_id").agg(
+        *[total(f"{p}_{n}") for p in side for n in ("count", "sum")],
+        *[F.max(f"{p}_max").alias(f"{p}_max") for p in side],
+        *[(F.try_divide(F.sum(f"{p}_sum"), F.sum(f"{p}_count"))).alias(f"{p}_mean") for p in side],
+        total("crypto_external_wit_count"),
+        total("crypto_internal_count"),
         F.count_distinct("currency").alias("crypto_currency_diversity"),
         F.count_distinct("protocol").alias("crypto_protocol_diversity"),
-        F.count_distinct(F.when(internal, F.col("relation_user_id"))).alias("crypto_internal_peer_count"),
-        _non_null_share("source_ip_hash", _went_out()).alias("crypto_wit_ip_ratio"),
-        F.count_if(F.col("kind").isin(0, 1)).alias("_known"),
-        *extra,
+        F.try_divide(F.sum("_out_ip"), F.sum("_out")).alias("crypto_wit_ip_ratio"),
+        total("_known"),
+    )
+    return base.where(F.col("_known") > 0).drop("_known")
+
+
+def _counterparties(crypto: DataFrame) -> DataFrame:
+    """Distinct wallets (either side) and internal peers per user."""
+    tagged = lambda tag, col: F.struct(F.lit(tag).alias("tag"), col.cast("string").alias("id"))
+    peer = F.when(F.col("sub_kind") == 1, F.col("relation_user_id"))
+    named = F.array(tagged("w", F.col("from_wallet")), tagged("w", F.col("to_wallet")), tagged("p", peer))
+    return (
+        crypto.select("user_id", F.inline(named))
+        .where(F.col("id").isNotNull())
+        .distinct()
+        .groupBy("user_id")
+        .agg(
+            F.count_if(F.col("tag") == "w").alias("crypto_wallet_hash_nunique"),
+            F.count_if(F.col("tag") == "p").alias("crypto_internal_peer_count"),
+        )
     )
 
 
 def crypto_features(crypto: DataFrame) -> DataFrame:
     """Fifteen features for users with a deposit or a withdrawal."""
-    base = _crypto_base(
-        crypto,
-        [
-            F.count_if((F.col("sub_kind") == 0) & _went_out()).alias("crypto_external_wit_count"),
-            F.count_if(F.col("sub_kind") == 1).alias("crypto_internal_count"),
-        ],
-    )
-    wallets = (
-        crypto.select("user_id", F.explode(F.array("from_wallet", "to_wallet")).alias("wallet"))
-        .where(F.col("wallet").isNotNull())
-        .groupBy("user_id")
-        .agg(F.count_distinct("wallet").alias("crypto_wallet_hash_nunique"))
-    )
-    return fill_zero(base.where(F.col("_known") > 0).drop("_known").join(wallets, "user_id", "left"))
+    return fill_zero(_crypto_base(crypto).join(_counterparties(crypto), "user_id", "left"))
 
 
 def crypto_features_lite(crypto: DataFrame) -> DataFrame:
-    """Variant without wallet, internal and external counts."""
-    extra = [
-        F.count_if((F.col("sub_kind") == 0) & _went_out()).alias("crypto_external_wit_count"),
-    ]
-    return fill_zero(_crypto_base(crypto, extra).where(F.col("_known") > 0).drop("_known"))
+    """Variant without wallet and internal-transfer counts."""
+    return crypto_features(crypto).drop("crypto_wallet_hash_nunique", "crypto_internal_count")
 
 
 def trading_features(trades: DataFrame, swaps: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from ..functions.scalars import (
     fill_zero,
     is_weekend,
 )
+from ..session import cut_lineage
 
 BURST_SIZE = 5
 
@@ -126,10 +127,14 @@ def amount_spread(tx: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     return p.select("user_id", clip(ratio, high=1000.0).alias("amount_p90_p10_ratio"))
 
 
-def temporal_features(users: DataFrame, tx: DataFrame) -> DataFrame:
-    """Seven features for every user."""
-    heavy = heavy_keys(tx, "user_id")
-    instants = tx_instants(tx)
+def temporal_features(users: DataFrame, tx: DataFrame, instants: DataFrame | None = None) -> DataFrame:
+    """Seven features for every user.
+
+    The timeline is read five times below, so it is written once as a narrow table; pass
+    it in when it exists already.
+    """
+    instants = cut_lineage(tx_instants(tx)) if instants is None else instants
+    heavy = heavy_keys(instants, "user_id", weight="n")
     days = instants.groupBy("user_id").agg(
         F.count_distinct(F.floor(F.col("us") / F.lit(float(MICROS_PER_DAY)))).alias("active_days")
     )
@@ -139,10 +144,9 @@ def temporal_features(users: DataFrame, tx: DataFrame) -> DataFrame:
     return fill_zero(out)
 
 
-def cross_table_features(tx: DataFrame) -> DataFrame:
+def cross_table_features(instants: DataFrame) -> DataFrame:
     """Four features; the 7 and 30 day cutoffs count back from the latest transaction of all."""
-    instants = tx_instants(tx)
-    latest = tx.agg(F.unix_micros(F.max("ts")).alias("latest")).scalar()
+    latest = instants.agg(F.max("us")).scalar()
     recent = lambda days: F.sum(
         F.when(F.col("us") >= F.col("latest") - days * MICROS_PER_DAY, F.col("n")).otherwise(F.lit(0))
     )

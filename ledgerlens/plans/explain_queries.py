@@ -228,7 +228,20 @@ def _(spark, sf):
     return explain.risk_report(scored(spark, sf), _top(spark, sf))
 
 
-@query("risk_report_with_changes")
+CHANGE_LINE = (
+    f"concat('  • 若將「', {_label_sql('feature')}, '」從 ', {_fixed('current', 4)}, ' 調整至 0.0，風險分數可降低 ', {_fixed('score_drop', 4)})"
+)
+
+
+@query(
+    "risk_report_with_changes",
+    f"""SELECT r.user_id, concat('{explain.REPORT_TITLE}', CAST(r.user_id AS STRING), chr(10), '{explain.REPORT_SCORE}', {_fixed('risk_score', 4)}, chr(10),
+  '{explain.REPORT_LEVEL}', lvl, chr(10), '{explain.REPORT_ACTION}', {ACTION_SQL}, chr(10), '{explain.REPORT_FACTORS}', chr(10), lines,
+  CASE WHEN changes IS NULL THEN '' ELSE concat(chr(10), '{explain.REPORT_CHANGES}', chr(10), changes) END) AS report
+FROM (SELECT *, {_closed_left('risk_score')} AS lvl FROM risk_grid) r JOIN (
+  SELECT user_id, string_agg({RISK_LINE}, chr(10) ORDER BY rank) AS lines FROM at_top WHERE rank <= 5 GROUP BY user_id) t ON t.user_id = r.user_id
+LEFT JOIN (SELECT user_id, string_agg({CHANGE_LINE}, chr(10) ORDER BY rank) AS changes FROM cf_top GROUP BY user_id) c ON c.user_id = r.user_id""",
+)
 def _(spark, sf):
     features = _features(spark, sf)
     return explain.risk_report(scored(spark, sf), _top(spark, sf), _changes(features))

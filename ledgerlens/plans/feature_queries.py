@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import heavy_keys
 from ..operators import addresses, flows, mart, money, profile, timing
+from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
 from .registry import query
 
@@ -142,13 +143,13 @@ def _(spark, sf):
 
 @query("tx_intervals", "SELECT * FROM interval_users", money=TIME_MONEY)
 def _(spark, sf):
-    tx = _tx(spark, sf)
-    return timing.tx_intervals(timing.tx_instants(tx), heavy_keys(tx, "user_id"))
+    instants = cut_lineage(timing.tx_instants(_tx(spark, sf)))
+    return timing.tx_intervals(instants, heavy_keys(instants, "user_id", weight="n"))
 
 
 @query("cross_table_features", "SELECT * FROM f_cross", ratio=CROSS_RATIO)
 def _(spark, sf):
-    return timing.cross_table_features(_tx(spark, sf))
+    return timing.cross_table_features(cut_lineage(timing.tx_instants(_tx(spark, sf))))
 
 
 @query("temporal_features", "SELECT * FROM f_temporal", money=TIME_MONEY, ratio="amount_p90_p10_ratio")

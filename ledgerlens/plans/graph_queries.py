@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, graph, graph_loops, mart, profile, trace
+from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
 from . import feature_queries as fq
 from .common import scored
@@ -43,6 +44,30 @@ SELECT it + 1, node, dangling, n, new_rk, sum(abs(new_rk - rk)) OVER () FROM (
     0.85::DOUBLE * (coalesce(c.got, 0) + (SELECT sum(rk) FROM p_rank WHERE dangling) / p.n) + 0.15::DOUBLE / p.n AS new_rk
   FROM p_rank p LEFT JOIN (SELECT s.dst, sum(q.rk / s.deg) AS got FROM p_rank q JOIN p_share s ON q.node = s.src GROUP BY s.dst) c ON c.dst = p.node
   WHERE p.it < 100 AND p.err >= p.n * 1e-6)""",
+        "b_links": "SELECT src, dst FROM p_edges WHERE src <> dst",
+        "b_walk": "SELECT node AS s, node, 0 AS d FROM p_nodes UNION SELECT w.s, e.dst, w.d + 1 FROM b_walk w JOIN b_links e ON e.src = w.node WHERE w.d < 24",
+        "b_dist": "SELECT s, node, min(d) AS d FROM b_walk GROUP BY s, node",
+        "b_paths": """
+SELECT node AS s, node, 0 AS d, 1.0::DOUBLE AS sigma FROM p_nodes
+UNION ALL SELECT g.s, e.dst, g.d + 1, sum(g.sigma) FROM b_paths g JOIN b_links e ON e.src = g.node
+  JOIN b_dist x ON x.s = g.s AND x.node = e.dst AND x.d = g.d + 1 GROUP BY g.s, e.dst, g.d + 1""",
+        "b_pivots": "SELECT node FROM p_nodes ORDER BY md5(CAST(node AS STRING)), node LIMIT 500",
+        "b_score": """
+SELECT v.node, sum(v.sigma * t.sigma / st.sigma) AS pull
+FROM b_pivots p JOIN b_paths v ON v.s = p.node AND v.node <> p.node JOIN b_paths t ON t.s = v.node AND t.node <> v.node
+JOIN b_paths st ON st.s = p.node AND st.node = t.node AND st.d = v.d + t.d GROUP BY v.node""",
+        "b_all": """
+SELECT n.node, coalesce(b.pull, 0) * ((SELECT count(*) FROM p_nodes) / (SELECT count(*) FROM b_pivots))
+  / (((SELECT count(*) FROM p_nodes) - 1.0) * ((SELECT count(*) FROM p_nodes) - 2)) AS betweenness
+FROM p_nodes n LEFT JOIN b_score b ON b.node = n.node""",
+        "p_closure": "SELECT src AS a, dst AS b FROM p_edges UNION SELECT c.a, e.dst FROM p_closure c JOIN p_edges e ON e.src = c.b",
+        "p_stuck": "SELECT a AS node FROM p_closure WHERE a = b UNION SELECT b FROM p_closure WHERE a IN (SELECT a FROM p_closure WHERE a = b)",
+        "p_free": "SELECT node FROM p_nodes WHERE node NOT IN (SELECT node FROM p_stuck)",
+        "p_depth": "SELECT node, 0 AS layer FROM p_free UNION SELECT e.dst, w.layer + 1 FROM p_depth w JOIN p_edges e ON e.src = w.node WHERE e.dst IN (SELECT node FROM p_free)",
+        "p_features": """
+SELECT r.node AS user_id, r.rk AS pagerank_score, d.graph_in_degree, d.graph_out_degree, k.connected_component_size, b.betweenness AS betweenness_centrality
+FROM p_rank r JOIN p_degree d ON d.node = r.node JOIN p_comp k ON k.node = r.node JOIN b_all b ON b.node = r.node
+WHERE r.it = (SELECT max(it) FROM p_rank)""",
         "p_seeds": "SELECT user_id AS node FROM user_info WHERE status = 1",
         "up_walk": "SELECT s.node AS start, e.src AS node FROM p_seeds s JOIN p_edges e ON e.dst = s.node UNION SELECT w.start, e.src FROM up_walk w JOIN p_edges e ON e.dst = w.node",
         "down_walk": "SELECT s.node AS start, e.dst AS node FROM p_seeds s JOIN p_edges e ON e.src = s.node UNION SELECT w.start, e.dst FROM down_walk w JOIN p_edges e ON e.src = w.node",
@@ -150,7 +175,7 @@ def _nodes(spark, sf):
 
 def _peers(spark, sf):
     t = tables(spark, sf)
-    edges = graph.peer_edges(t.crypto)
+    edges = cut_lineage(graph.peer_edges(t.crypto))
     return edges, graph.peer_nodes(edges, t.users)
 
 
@@ -197,12 +222,12 @@ def _(spark, sf):
     return graph_loops.pagerank(*_peers(spark, sf))
 
 
-@query("betweenness", fine="betweenness")
+@query("betweenness", "SELECT * FROM b_all", fine="betweenness")
 def _(spark, sf):
     return graph_loops.betweenness(*_peers(spark, sf))
 
 
-@query("graph_features")
+@query("graph_features", "SELECT * FROM p_features", fine="pagerank_score betweenness_centrality")
 def _(spark, sf):
     return graph_loops.graph_features(*_peers(spark, sf))
 
@@ -228,7 +253,7 @@ def _(spark, sf):
     return graph_loops.hop_class(*_peers(spark, sf), _black(spark, sf))
 
 
-@query("topo_layers")
+@query("topo_layers", "SELECT node, max(layer) AS layer FROM p_depth GROUP BY node")
 def _(spark, sf):
     return graph_loops.topo_layers(*_peers(spark, sf))
 
@@ -308,16 +333,19 @@ MART_RATIO = (
 )
 
 
+MART_SQL = """SELECT *, least(greatest((1 - has_kyc_level2) * 0.30::DOUBLE + twd_withdraw_ratio * 0.25::DOUBLE + ip_night_ratio * 0.15::DOUBLE
+  + crypto_currency_diversity * 0.10::DOUBLE + career_income_risk * 0.20::DOUBLE, 0), 1) AS composite_risk_score FROM mart_full1"""
+
+
 @query(
     "feature_mart",
-    """SELECT *, least(greatest((1 - has_kyc_level2) * 0.30::DOUBLE + twd_withdraw_ratio * 0.25::DOUBLE + ip_night_ratio * 0.15::DOUBLE
-  + crypto_currency_diversity * 0.10::DOUBLE + career_income_risk * 0.20::DOUBLE, 0), 1) AS composite_risk_score FROM mart_full1""",
+    MART_SQL,
     money=MART_MONEY,
     ratio=MART_RATIO,
     fine="pagerank_score",
 )
 def _(spark, sf):
-    """Everything SQL can state; the sampled centrality is in feature_mart_full."""
+    """Without the sampled centrality, by far the most expensive column."""
     edges, nodes = _peers(spark, sf)
     sizes = graph_loops.component_size(graph_loops.components(edges, nodes))
     ranks = graph_loops.pagerank(edges, nodes).withColumnRenamed("rank", "pagerank_score")
@@ -325,7 +353,14 @@ def _(spark, sf):
     return mart.feature_mart(tables(spark, sf), AS_OF, frame)
 
 
-@query("feature_mart_full", money=MART_MONEY, ratio=MART_RATIO, fine="pagerank_score betweenness_centrality")
+@query(
+    "feature_mart_full",
+    f"""SELECT m.* EXCLUDE (composite_risk_score), coalesce(p.betweenness_centrality, 0) AS betweenness_centrality, composite_risk_score
+FROM ({MART_SQL}) m LEFT JOIN p_features p ON p.user_id = m.user_id""",
+    money=MART_MONEY,
+    ratio=MART_RATIO,
+    fine="pagerank_score betweenness_centrality",
+)
 def _(spark, sf):
     return mart.feature_mart(tables(spark, sf), AS_OF, graph_loops.graph_features(*_peers(spark, sf)))
 
