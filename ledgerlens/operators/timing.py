@@ -94,7 +94,10 @@ def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFra
     gaps = tx_gaps(instants)
     # The gaps of a user add up to its time span, so both integer sums fit 38 digits.
     gap, n = F.col("gap").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)")
+    # without heavy users the median is one more aggregate of the same pass
+    median = [] if heavy is not None else [F.percentile("gap", 0.5, "n").alias("median")]
     sums = gaps.groupBy("user_id").agg(
+        *median,
         F.sum("n").alias("cnt"),
         F.sum((gap * n).cast("decimal(28,0)")).alias("s1"),
         F.sum((gap * gap * n).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s2"),
@@ -104,9 +107,10 @@ def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFra
     s1 = F.col("s1").cast("decimal(19,0)")
     centred = (F.col("s2") - (s1 * s1 / F.col("cnt").cast("decimal(19,0)"))).cast("double")
     std = F.sqrt(F.greatest(centred, F.lit(0.0)) / (F.col("cnt") - 1))
-    median = exact_percentiles(gaps, "user_id", "gap", "n", {"median": 0.5}, heavy)
+    if heavy is not None:
+        sums = sums.join(exact_percentiles(gaps, "user_id", "gap", "n", {"median": 0.5}, heavy), "user_id")
     sec = float(MICROS_PER_SECOND)
-    return sums.join(median, "user_id").select(
+    return sums.select(
         "user_id",
         (mean / sec).alias("tx_interval_mean"),
         F.when(F.col("cnt") > 1, std / sec).otherwise(F.lit(0.0)).alias("tx_interval_std"),

@@ -125,6 +125,9 @@ def test_timeline_against_plain_rules(spark):
     r = one(timing.tx_intervals(inst))
     got = (r["tx_interval_mean"], r["tx_interval_std"], r["tx_interval_min"], r["tx_interval_median"])
     assert got == pytest.approx(want[:4])
+    heavy = heavy_keys(inst, "user_id", 100, "n")
+    split = one(timing.tx_intervals(inst, heavy))
+    assert split["tx_interval_median"] == pytest.approx(want[3]) and split["tx_interval_std"] == pytest.approx(want[1])
     assert one(timing.tx_bursts(inst))["tx_burst_count"] == want[4]
     assert one(timing.amount_spread(frame))["amount_p90_p10_ratio"] == pytest.approx(min(want[5], 1000))
 
