@@ -95,7 +95,7 @@ def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFra
     # The gaps of a user add up to its time span, so both integer sums fit 38 digits.
     gap, n = F.col("gap").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)")
     # without heavy users the median is one more aggregate of the same pass
-    median = [] if heavy is not None else [F.percentile("gap", 0.5, "n").alias("median")]
+    median = [] if heavy is not None else [F.percentile("gap", 0.5, F.col("n")).alias("median")]
     sums = gaps.groupBy("user_id").agg(
         *median,
         F.sum("n").alias("cnt"),
