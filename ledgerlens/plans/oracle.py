@@ -186,9 +186,9 @@ SELECT user_id,
 FROM move_rows GROUP BY user_id""",
     "f_red": """
 SELECT u.user_id, coalesce(w.dep_to_first_wit_hours, 0) AS dep_to_first_wit_hours,
-  coalesce(least(s.fi / (s.co + 1e-9), 100.0), 0) AS twd_to_crypto_out_ratio,
+  CASE WHEN s.user_id IS NULL THEN 0 ELSE least(s.fi / (s.co + 1e-9), 100.0) END AS twd_to_crypto_out_ratio,
   coalesce(s.cv, 0) AS tx_amount_cv, r.rapid_kyc_then_trade,
-  coalesce(least(s.co / (s.ci + 1e-9), 10.0), 0) AS crypto_out_in_ratio,
+  CASE WHEN s.user_id IS NULL THEN 0 ELSE least(s.co / (s.ci + 1e-9), 10.0) END AS crypto_out_in_ratio,
   coalesce(d.same_day_in_out_count, 0) AS same_day_in_out_count
 FROM user_info u JOIN f_rapid r ON u.user_id = r.user_id
 LEFT JOIN f_wait w ON u.user_id = w.user_id LEFT JOIN f_sums s ON u.user_id = s.user_id

@@ -150,3 +150,8 @@ def test_heavy_keys_take_the_radix_path(spark):
             assert split[k][p] == pytest.approx(plain[k][p], rel=1e-12)
     both = _radix_percentiles(df.groupBy("k", F.col("v").alias("_v")).agg(F.sum("w").alias("_w")), "k", ps)
     assert both.where("k = 2").first()["p50"] == pytest.approx(plain[2]["p50"])
+
+
+def test_user_without_transfers_has_zero_red_flags(spark):
+    r = one(flows.red_flag_features(user(spark, T0, T0), fiat(spark, []), no_crypto(spark)))
+    assert all(v == 0 for k, v in r.items() if k != "user_id")
