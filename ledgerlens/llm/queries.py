@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, mixing, order_minhash, perplexity, phrases
+from . import decontaminate, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,31 @@ def mixture_weights(spark: SparkSession, docs: DataFrame, text: str) -> tuple[Da
     return weights, total // 2
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page stands for the body of a response record; the table has no dates and no HTTP headers."""
+    pages = _table(spark, sf_dir, "pages")
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    responses = pages.select(
+        "page_id",
+        warc.record_id(F.lit("response"), F.col("page_id").cast("string")).alias("warc_record_id"),
+        F.col("url").alias("warc_target_uri"),
+        F.lit("1970-01-01T00:00:00Z").alias("warc_date"),
+        F.concat(F.lit(http), F.coalesce("html", F.lit(""))).alias("block"),
+    )
+    return warc.derive_records(responses)
+
+
+def op5_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.filter_urls(_table(spark, sf_dir, "pages"), carry=["page_id"])
+    return out.select("page_id", "host", "path", "rule", "verdict", "score", F.array_join("host_words", " ").alias("host_words"))
+
+
+def op6_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return licenses.scan_licenses(files, carry=["file_id"]).withColumnRenamed("file_id", "doc_id")
+
+
 def op2_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(_table(spark, sf_dir, "documents"))
     weights, budget = mixture_weights(spark, docs, "text")
@@ -114,7 +139,11 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hierarchical_mixture, op3_line_dedup, op4_order_minhash, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free)
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives, op2_hierarchical_mixture, op3_line_dedup, op4_order_minhash, op5_host_words,
+        op6_rare_tokens, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free,
+    )
 }
 
 MIXTURE_SQL = """
