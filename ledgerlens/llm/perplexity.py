@@ -18,7 +18,7 @@ from .rows import cut_lineage, join_small, unpacked
 from .textbytes import LOWER, SPACE_WORD, U64, SegmentHash, lines, mix, text_chunks, window_hashes, words
 
 ORDER = 5
-HASH_BITS = 23
+SLOT_BITS = 23
 UNKNOWN = "und"
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True  # fixed values of the symbol rule
@@ -158,8 +158,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return out.join(context_rows, ["order", "language", "gram"], "full_outer")
 
 
-def _slot(order, language_key, gram):
-    return (mix(gram ^ language_key ^ (U64(order) << U64(56))) >> U64(64 - HASH_BITS)).astype(np.uint32)
+def _hash(order, language_key, gram):
+    return (mix(gram ^ language_key ^ (U64(order) << U64(56))) >> U64(32)).astype(np.uint32)
 
 
 def _language_key(language: str) -> np.uint64:
@@ -167,27 +167,28 @@ def _language_key(language: str) -> np.uint64:
     return SegmentHash(raw)(np.array([0]), np.array([len(raw)]))[0] if len(raw) else U64(1)
 
 
-def _slots(batches):
+def _hashed(batches):
     for batch in batches:
         order = np.array(batch.column(0).to_pylist())
         language = batch.column(1).to_pylist()
         keys = {x: _language_key(x) for x in set(language)}
         key = np.array([keys[x] for x in language], np.uint64)
         gram = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-        slot = (mix(gram ^ key ^ (order.astype(np.uint64) << U64(56))) >> U64(64 - HASH_BITS)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot), batch.column(3), batch.column(4)], names=["order", "slot", "logp", "log_back"])
+        value = (mix(gram ^ key ^ (order.astype(np.uint64) << U64(56))) >> U64(32)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), batch.column(3), batch.column(4)], names=["order", "hash", "logp", "log_back"])
 
 
 def hash_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per order: sorted hashes, log probabilities and back-off weights.
 
-    A hash has ``HASH_BITS`` bits, so an order has at most 2**HASH_BITS entries and the arrays
-    are bounded whatever the corpus or the number of languages; entries that share a
-    hash keep the larger values.
+    A hash has 32 bits; of the entries whose hashes agree in the first ``SLOT_BITS`` the most probable
+    stays, and the others back off to a shorter n-gram. So an order has at most 2**SLOT_BITS entries, and the arrays
+    are bounded whatever the corpus or the number of languages.
     """
-    rows = model.select("order", "language", "gram", "logp", "log_back").mapInArrow(_slots, "order int, slot bigint, logp double, log_back double")
-    rows = rows.groupBy("order", "slot").agg(F.max("logp").cast("float").alias("logp"), F.max("log_back").cast("float").alias("log_back"))
-    rows = rows.select("order", F.col("slot").cast("int").alias("slot"), "logp", "log_back")
+    rows = model.select("order", "language", "gram", "logp", "log_back").mapInArrow(_hashed, "order int, hash bigint, logp double, log_back double")
+    entry = F.max(F.struct("logp", "log_back", "hash")).alias("e")
+    rows = rows.groupBy("order", F.shiftright("hash", 32 - SLOT_BITS).alias("slot")).agg(entry)
+    rows = rows.select("order", F.col("e.hash").alias("slot"), F.col("e.logp").cast("float").alias("logp"), F.col("e.log_back").cast("float").alias("log_back"))
     got = rows.toArrow()
     order = got.column("order").to_numpy()
     out = {}
@@ -215,14 +216,14 @@ def log_probabilities(model: dict, language: str, gram: np.ndarray) -> np.ndarra
     for k in range(ORDER, 0, -1):
         known, logp, _ = model[k]
         short = gram[todo] & U64((1 << (8 * k)) - 1)
-        at, hit = _find(known, _slot(k, key, short))
+        at, hit = _find(known, _hash(k, key, short))
         hit &= np.isfinite(logp[at]) if len(logp) else False
         out[todo[hit]] = weight[todo[hit]] + logp[at[hit]]
         todo = todo[~hit]
         if not len(todo):
             return out
         known, _, back = model[k - 1]
-        at, hit = _find(known, _slot(k - 1, key, (gram[todo] & U64((1 << (8 * k)) - 1)) >> U64(8)))
+        at, hit = _find(known, _hash(k - 1, key, (gram[todo] & U64((1 << (8 * k)) - 1)) >> U64(8)))
         if len(known):
             weight[todo[hit]] += back[at[hit]]
         out[todo] = weight[todo] - np.log(256.0)
