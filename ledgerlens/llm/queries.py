@@ -127,11 +127,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = phrases.drop_repeated_strings(_reports(spark, sf_dir))
+    reports = _reports(spark, sf_dir)
+    out = phrases.drop_repeated_strings(reports.withColumn("n_bytes", F.coalesce(F.octet_length("report"), F.lit(0)).cast("bigint")), carry=["user_id", "n_bytes"])
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["last"] - s["first"])
     return out.select(
         F.col("user_id").alias("doc_id"),
-        F.coalesce(F.octet_length("report"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_bytes",
         removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),

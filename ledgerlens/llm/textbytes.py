@@ -83,6 +83,10 @@ class SegmentHash:
         np.cumsum(_BYTE_VALUES[kind][buf] * powers(n, kind=kind)[:n], out=self.sums[1:])
         self.inverse = powers(n, True, kind)
 
+    def runs(self, low: int, high: int, size: int) -> np.ndarray:
+        """Hashes of the ranges [i, i + size) for i from ``low`` to before ``high``."""
+        return mix((self.sums[low + size : high + size] - self.sums[low:high]) * self.inverse[low:high])
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 

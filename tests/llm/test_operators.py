@@ -90,7 +90,7 @@ def test_phrases_of_a_long_text_are_cut_in_blocks(monkeypatch):
 
     monkeypatch.setattr(phrases, "BLOCK", 333)
     seen = np.zeros(5000, int)
-    for text, start, count, _ in phrases.cut_phrases(SegmentHash(buf), np.array([0, 2000, 2000, 5000]), 100):
+    for text, start, count, _, _ in phrases.cut_phrases(SegmentHash(buf), np.array([0, 2000, 2000, 5000]), 100):
         for s, n in zip(start, count):
             seen[s : s + n] += 1
     assert seen[:1901].tolist() == [1] * 1901 and not seen[1901:2000].any() and seen[2000:4901].tolist() == [1] * 2901
