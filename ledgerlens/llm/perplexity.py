@@ -100,62 +100,41 @@ def count_ngrams(reports: DataFrame, report: str = "report", language: str = "la
 # ------------------------------------------------------------------ modified Kneser-Ney
 
 
-def _order_stats(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(grams with their discount, contexts with total and back-off weight) of one order.
-
-    ``grams``: language, gram (the last ``order`` bytes), n (raw count for the top order,
-    number of distinct preceding bytes below it).
-    """
-    count_of = lambda k: F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}")
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    rule = lambda k: F.greatest(
-        F.lit(0.1), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}"), F.lit(0.5 * k)))
-    )
-    discounts = grams.groupBy("language").agg(*[count_of(k) for k in (1, 2, 3, 4)]).select(
-        "language", *[rule(k).alias(f"d{k}") for k in (1, 2, 3)]
-    )
-    pick = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    with_discount = join_small(grams, discounts, "language", F.xxhash64("gram")).select(
-        "language", "gram", "n", F.shiftright("gram", 8).alias("context"), pick.alias("cut")
-    )
-    contexts = with_discount.groupBy("language", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-    return with_discount, contexts.select("language", "context", "total", (F.col("cuts") / F.col("total")).alias("back"))
-
-
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(order, language, gram, logp, log_back) of all orders 1..``ORDER``.
+    """(order, language, gram, net, total, back) of all orders 0..``ORDER``.
 
-    ``logp`` is the interpolated log probability of the last byte after the others;
-    ``log_back`` the log weight of the order above when this gram is its context and the next
-    byte was never seen after it (0 if the gram never was a context).
+    ``net``: count less its discount; ``total`` and ``back``: as a context, the sum of the counts and the
+    share of it that the discounts leave to the order below. Counts are raw at the top
+    order and numbers of distinct preceding bytes below it. The interpolated probability is
+    ``net / total(context) + back(context) * p(shorter n-gram)``, and 1/256 below order 1.
     """
-    levels = {ORDER: counts}
+    levels = [counts.select(F.lit(ORDER).alias("order"), "language", "gram", "n")]
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND((1 << (8 * k)) - 1).alias("gram")
-        levels[k] = cut_lineage(levels[k + 1].select("language", shorter).groupBy("language", "gram").agg(F.count("*").alias("n")))
-    out, lower, backs = None, None, {}
-    for k in range(1, ORDER + 1):
-        grams, contexts = _order_stats(levels[k], k)
-        df = grams.join(contexts, ["language", "context"])
-        share = (F.col("n") - F.col("cut")) / F.col("total")
-        if lower is None:
-            p = share + F.col("back") / 256
-            df = df.select("language", "gram", p.alias("p"))
-        else:
-            shorter = F.col("gram").bitwiseAND((1 << (8 * (k - 1))) - 1)
-            below = lower.select("language", F.col("gram").alias("short"), F.col("p").alias("below"))
-            df = df.withColumn("short", shorter).join(below, ["language", "short"]).select(
-                "language", "gram", (share + F.col("back") * F.col("below")).alias("p")
-            )
-        lower = cut_lineage(df)
-        backs[k] = contexts
-        rows = lower.select(F.lit(k).alias("order"), "language", "gram", F.log("p").alias("logp"))
-        out = rows if out is None else out.unionByName(rows)
-    context_rows = None
-    for k, contexts in backs.items():
-        rows = contexts.select(F.lit(k - 1).alias("order"), "language", F.col("context").alias("gram"), F.log("back").alias("log_back"))
-        context_rows = rows if context_rows is None else context_rows.unionByName(rows)
-    return out.join(context_rows, ["order", "language", "gram"], "full_outer")
+        level = levels[-1].select("language", shorter).groupBy("language", "gram").agg(F.count("*").alias("n"))
+        levels.append(cut_lineage(level.select(F.lit(k).alias("order"), "language", "gram", "n")))
+    grams = levels[0]
+    for level in levels[1:]:
+        grams = grams.unionByName(level)
+    many = lambda condition, name: F.sum(condition.cast("bigint")).alias(name)
+    n = F.col("n")
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    cut = lambda k: F.greatest(
+        F.lit(0.1), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}"), F.lit(0.5 * k)))
+    )
+    key = F.concat_ws(":", "order", "language").alias("key")
+    cuts = grams.groupBy("order", "language").agg(*[many(n == k, f"n{k}") for k in (1, 2, 3, 4)]).select(key, *[cut(k).alias(f"d{k}") for k in (1, 2, 3)])
+    cuts = cut_lineage(cuts)
+    contexts = grams.groupBy((F.col("order") - 1).alias("below"), "order", "language", F.shiftright("gram", 8).alias("gram")).agg(
+        F.sum("n").alias("total"), many(n == 1, "n1"), many(n == 2, "n2"), many(n > 2, "n3")
+    )
+    contexts = join_small(contexts.withColumn("key", key), cuts, "key", F.xxhash64("gram"))
+    left = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
+    contexts = contexts.select(F.col("below").alias("order"), "language", "gram", F.lit(None).cast("double").alias("net"), F.col("total").cast("double").alias("total"), (left / F.col("total")).alias("back"))
+    rows = join_small(grams.withColumn("key", key), cuts, "key", F.xxhash64("gram"))
+    own = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    none = F.lit(None).cast("double")
+    return rows.select("order", "language", "gram", (n - own).alias("net"), none.alias("total"), none.alias("back")).unionByName(contexts)
 
 
 def _hash(order, language_key, gram):
@@ -169,36 +148,35 @@ def _language_key(language: str) -> np.uint64:
 
 def _hashed(batches):
     for batch in batches:
-        order = np.array(batch.column(0).to_pylist())
-        language = batch.column(1).to_pylist()
-        keys = {x: _language_key(x) for x in set(language)}
-        key = np.array([keys[x] for x in language], np.uint64)
+        order = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        names = batch.column(1).dictionary_encode()
+        keys = np.array([_language_key(x) for x in names.dictionary.to_pylist()] or [0], np.uint64)
+        key = keys[names.indices.to_numpy(zero_copy_only=False)]
         gram = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-        value = (mix(gram ^ key ^ (order.astype(np.uint64) << U64(56))) >> U64(32)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), batch.column(3), batch.column(4)], names=["order", "hash", "logp", "log_back"])
+        value = (mix(gram ^ key ^ (order << U64(56))) >> U64(32)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), *batch.columns[3:]], names=["order", "hash", "net", "total", "back"])
 
 
-def hash_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: sorted hashes, log probabilities and back-off weights.
+def hash_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: sorted hashes, and net, total and back of their n-grams.
 
-    A hash has 32 bits; of the entries whose hashes agree in the first ``SLOT_BITS`` the most probable
-    stays, and the others back off to a shorter n-gram. So an order has at most 2**SLOT_BITS entries, and the arrays
-    are bounded whatever the corpus or the number of languages.
+    A hash has 32 bits; of the entries whose hashes agree in the first ``SLOT_BITS`` the one with the largest
+    values stays, and the others back off to a shorter n-gram. So an order has at most 2**SLOT_BITS entries, and the
+    arrays are bounded whatever the corpus or the number of languages.
     """
-    rows = model.select("order", "language", "gram", "logp", "log_back").mapInArrow(_hashed, "order int, hash bigint, logp double, log_back double")
-    entry = F.max(F.struct("logp", "log_back", "hash")).alias("e")
-    rows = rows.groupBy("order", F.shiftright("hash", 32 - SLOT_BITS).alias("slot")).agg(entry)
-    rows = rows.select("order", F.col("e.hash").alias("slot"), F.col("e.logp").cast("float").alias("logp"), F.col("e.log_back").cast("float").alias("log_back"))
-    got = rows.toArrow()
+    rows = model.select("order", "language", "gram", "net", "total", "back").mapInArrow(_hashed, "order int, hash bigint, net double, total double, back double")
+    rows = rows.withColumn("slot", F.shiftright("hash", 32 - SLOT_BITS)).repartition("order", "slot")
+    rows = rows.groupBy("order", "slot", "hash").agg(*[F.max(c).cast("float").alias(c) for c in ("net", "total", "back")])
+    rows = rows.groupBy("order", "slot").agg(F.max(F.struct("net", "total", "back", "hash")).alias("e"))
+    got = rows.select("order", "e.*").toArrow()
     order = got.column("order").to_numpy()
+    hashes = got.column("hash").to_numpy().astype(np.uint32)
+    values = [np.nan_to_num(got.column(c).to_numpy(), nan=0.0).astype(np.float32) for c in ("net", "total", "back")]
     out = {}
-    for k in range(0, ORDER + 1):
+    for k in range(ORDER + 1):
         own = np.flatnonzero(order == k)
-        slot = got.column("slot").to_numpy()[own].astype(np.uint32)
-        rank = np.argsort(slot)
-        logp = got.column("logp").to_numpy()[own][rank]
-        back = got.column("log_back").to_numpy()[own][rank]
-        out[k] = (slot[rank], np.nan_to_num(logp, nan=-np.inf), np.nan_to_num(back, nan=0.0))
+        own = own[np.argsort(hashes[own])]
+        out[k] = (hashes[own], *[v[own] for v in values])
     return out
 
 
@@ -208,26 +186,23 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def log_probabilities(model: dict, language: str, gram: np.ndarray) -> np.ndarray:
-    """log p of each distinct n-gram, backing off to shorter ones where it was never seen."""
+    """Interpolated log p of each distinct n-gram; an n-gram or context that was never seen leaves all to the shorter one."""
     key = _language_key(language)
-    out = np.full(len(gram), -np.log(256.0))
-    weight = np.zeros(len(gram))
-    todo = np.arange(len(gram))
-    for k in range(ORDER, 0, -1):
-        known, logp, _ = model[k]
-        short = gram[todo] & U64((1 << (8 * k)) - 1)
-        at, hit = _find(known, _hash(k, key, short))
-        hit &= np.isfinite(logp[at]) if len(logp) else False
-        out[todo[hit]] = weight[todo[hit]] + logp[at[hit]]
-        todo = todo[~hit]
-        if not len(todo):
-            return out
-        known, _, back = model[k - 1]
-        at, hit = _find(known, _hash(k - 1, key, (gram[todo] & U64((1 << (8 * k)) - 1)) >> U64(8)))
-        if len(known):
-            weight[todo[hit]] += back[at[hit]]
-        out[todo] = weight[todo] - np.log(256.0)
-    return out
+    p = np.full(len(gram), 1 / 256)
+    total, back, seen = np.zeros(len(gram)), np.ones(len(gram)), np.zeros(len(gram), bool)
+    for k in range(1, ORDER + 1):
+        short = gram & U64((1 << (8 * k)) - 1)
+        hashes, _, totals, backs = model[k - 1]
+        at, seen = _find(hashes, _hash(k - 1, key, short >> U64(8)))
+        if not seen.any():
+            continue
+        total, back = np.where(seen, totals[at], 0), np.where(seen, backs[at], 0)
+        seen &= total > 0
+        hashes, nets, _, _ = model[k]
+        at, hit = _find(hashes, _hash(k, key, short))
+        net = np.where(hit, nets[at], 0) if len(nets) else 0.0
+        p = np.where(seen, net / np.maximum(total, 1e-9) + back * p, p)
+    return np.log(p)
 
 
 # ------------------------------------------------------------------ rules and verdict
