@@ -22,6 +22,8 @@ from .scoring import binary_metrics, meta_features
 SEED, FOLDS, MAX_CORRELATION = 42, 5, 0.95
 PROTECTED = ["is_female", "age"]
 EMBEDDING_SIZE = 16
+# boosting rounds; every round is a few Spark jobs, so there are fewer and larger steps than on one machine
+ROUNDS = 20
 HASH_BUCKETS = 4096
 
 
@@ -70,7 +72,7 @@ def class_weight(df: DataFrame, balanced: bool = False, label: str = "status") -
     return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(up))).otherwise(F.lit(float(down))))
 
 
-def learners(rounds: int = 100, forest: bool = False) -> dict[str, object]:
+def learners(rounds: int = ROUNDS, forest: bool = False) -> dict[str, object]:
     """Three boosted-tree learners that differ in depth, step and sampling, and optionally a forest."""
     common = {"labelCol": "status", "featuresCol": "features", "weightCol": "weight", "maxIter": rounds, "seed": SEED}
     out = {
@@ -89,7 +91,7 @@ def positive_probability(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.get(vector_to_array("probability"), 1)).drop("probability", "rawPrediction", "prediction")
 
 
-def base_model_scores(train: DataFrame, score: DataFrame, cols: list[str], rounds: int = 100, forest: bool = True) -> DataFrame:
+def base_model_scores(train: DataFrame, score: DataFrame, cols: list[str], rounds: int = ROUNDS, forest: bool = True) -> DataFrame:
     """(user_id, model, score) of every learner fitted on ``train``."""
     fitted_on = cut_lineage(class_weight(assemble(train, cols)))
     target = assemble(score, cols)
@@ -103,7 +105,7 @@ def base_model_scores(train: DataFrame, score: DataFrame, cols: list[str], round
     return out
 
 
-def focal_second_pass(train: DataFrame, cols: list[str], rounds: int = 100):
+def focal_second_pass(train: DataFrame, cols: list[str], rounds: int = ROUNDS):
     """Two passes: the first model's probabilities become focal sample weights of the second."""
     from .scoring import focal_weight
 
@@ -149,7 +151,7 @@ class Stack:
         return rows
 
 
-def fit_stack(train: DataFrame, cols: list[str], folds: int = FOLDS, rounds: int = 100) -> tuple[Stack, DataFrame]:
+def fit_stack(train: DataFrame, cols: list[str], folds: int = FOLDS, rounds: int = ROUNDS) -> tuple[Stack, DataFrame]:
     """Stack fitted on (user_id, status, cols) and the out-of-fold scores of the same rows."""
     data = cut_lineage(class_weight(assemble(stratified_folds(train, folds), cols)).select("user_id", "status", "fold", "weight", "features"))
     fitted: dict[str, list] = {}
@@ -186,7 +188,7 @@ def calibrate(df: DataFrame, folds: int = 3) -> DataFrame:
     return out
 
 
-def tune(train: DataFrame, cols: list[str], trials: int = 20, folds: int = 3, parallelism: int = 2, rounds: tuple = (50, 100)) -> DataFrame:
+def tune(train: DataFrame, cols: list[str], trials: int = 6, folds: int = 3, parallelism: int = 2, rounds: tuple = (10, 20)) -> DataFrame:
     """Random grid over depth, step, sampling and rounds; one row per trial with the mean fold F1."""
     import random
 
@@ -237,7 +239,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
-def select_features(df: DataFrame, cols: list[str], limit: float = MAX_CORRELATION, importance_rounds: int = 0) -> tuple[list[str], DataFrame]:
+def select_features(df: DataFrame, cols: list[str], limit: float = MAX_CORRELATION, importance_rounds: int = ROUNDS) -> tuple[list[str], DataFrame]:
     """Kept columns and a report (feature, stage, kept_instead, corr).
 
     Zero variance, then correlated pairs from the strongest down (the one less correlated
@@ -280,7 +282,7 @@ def scale_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return fitted.transform(assemble(df, cols)).select("user_id", vector_to_array("scaled").alias("scaled"))
 
 
-def ablation(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], rounds: int = 50) -> DataFrame:
+def ablation(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
     """Metrics of one learner per feature set with the change against the first set."""
     parts = None
     for i, (name, cols) in enumerate(configs.items()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_percentiles
-from ..operators import anomaly, blacklist, graph, mart, models, money, neighbors
+from ..operators import anomaly, blacklist, graph, mart, models, neighbors
 from ..operators.scoring import best_threshold, pr_curve
 from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
@@ -15,20 +15,41 @@ from .graph_queries import _edges, _node_features
 from .oracle import add_blocks
 from .registry import query
 
-VEC = ["twd_dep_count", "twd_dep_mean", "twd_wit_count", "twd_wit_mean", "twd_withdraw_ratio", "twd_wit_ip_ratio"]
-# Boosting rounds of the registered model queries: they check the pipeline, not model quality.
-ROUNDS = 5
+# All features of the lite mart, in its order.
+VEC = (
+    "has_kyc_level2 kyc_speed_sec account_age_days age is_high_risk_career is_high_risk_income career_income_risk is_app_user"
+    " twd_dep_count twd_dep_sum twd_dep_mean twd_dep_std twd_dep_max twd_wit_count twd_wit_sum twd_wit_mean twd_wit_std twd_wit_max"
+    " twd_smurf_flag twd_wit_ip_ratio twd_withdraw_ratio crypto_dep_count crypto_dep_sum crypto_dep_mean crypto_dep_max"
+    " crypto_wit_count crypto_wit_sum crypto_wit_mean crypto_wit_max crypto_external_wit_count crypto_currency_diversity"
+    " crypto_protocol_diversity crypto_internal_peer_count crypto_wit_ip_ratio trading_count trading_sum trading_mean trading_max"
+    " trading_buy_ratio trading_market_order_ratio swap_count swap_sum total_trading_volume ip_unique_count ip_total_count"
+    " ip_night_ratio ip_max_shared fund_stay_sec quick_kyc_quick_withdraw new_account_high_risk night_high_frequency"
+    " large_fast_turnover smurf_withdraw_pattern currency_protocol_complexity risky_career_low_kyc withdraw_velocity"
+    " ip_diversity_frequency age_volume_mismatch composite_risk_score"
+).split()
+
+
+
+def _z_scores(fit_on: str) -> str:
+    """vec of every user, scaled by the users that meet the condition; a constant column is only centred."""
+    one = "(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END"
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in VEC)
+    return (
+        "SELECT user_id, [" + ", ".join(one.format(c=c) for c in VEC) + "] AS vec FROM f_mart_lite,"
+        f" (SELECT {stats} FROM f_mart_lite JOIN (SELECT user_id, status FROM user_info) USING (user_id) WHERE {fit_on})"
+    )
+
 
 add_blocks(
     {
-        "z_vec": "SELECT user_id, ["
-        + ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in VEC)
-        + "] AS vec FROM f_twd",
-        "z_pos": "SELECT z.* FROM z_vec z JOIN user_info u ON z.user_id = u.user_id WHERE status = 1",
+        "z_vec": _z_scores("TRUE"),
+        # the scale of the blacklist is that of the positives
+        "zb_vec": _z_scores("status = 1"),
+        "zb_pos": "SELECT z.* FROM zb_vec z JOIN user_info u ON z.user_id = u.user_id WHERE status = 1",
         "knn_black": """
 SELECT q.user_id AS qid, r.user_id AS rid, list_distance(q.vec, r.vec) AS distance,
   row_number() OVER (PARTITION BY q.user_id ORDER BY round(list_distance(q.vec, r.vec), 12), r.user_id) AS rank
-FROM z_vec q, z_pos r QUALIFY rank <= 10""",
+FROM zb_vec q, zb_pos r QUALIFY rank <= 10""",
         "knn_mean": "SELECT qid, avg(distance) AS mean_distance FROM knn_black GROUP BY qid",
         "lof_near": """
 SELECT q.user_id AS qid, r.user_id AS rid, list_distance(q.vec, r.vec) AS distance,
@@ -36,22 +57,23 @@ SELECT q.user_id AS qid, r.user_id AS rid, list_distance(q.vec, r.vec) AS distan
 FROM z_vec q, z_vec r WHERE q.user_id <> r.user_id QUALIFY rank <= 20""",
         "lof_kd": "SELECT qid, max(distance) AS kd FROM lof_near GROUP BY qid",
         "lof_lrd": "SELECT n.qid, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd FROM lof_near n JOIN lof_kd k ON n.rid = k.qid GROUP BY n.qid",
-        "hb_long": " UNION ALL ".join(f"SELECT user_id, {i} AS f, CAST({c} AS DOUBLE) AS x FROM f_twd" for i, c in enumerate(VEC)),
-        "hb_edge": "SELECT f, min(x) AS lo, (max(x) - min(x)) / 20 AS w, count(*) AS n FROM hb_long GROUP BY f",
-        "hb_bins": "SELECT user_id, l.f, least(greatest(floor((x - lo) / w), 0), 19) AS b, w, n FROM hb_long l JOIN hb_edge e ON l.f = e.f",
+        "hb_long": f"SELECT user_id, unnest(range(0, {len(VEC)})) AS f, unnest(vec) AS x FROM z_vec",
+        "hb_edge": "SELECT f, min(x) AS lo, CASE WHEN max(x) = min(x) THEN 1 / 20 ELSE (max(x) - min(x)) / 20 END AS w, count(*) AS n FROM hb_long GROUP BY f",
+        "hb_bins": "SELECT user_id, l.f, least(greatest(floor(round((x - lo) / w, 9)), 0), 19) AS b, w, n FROM hb_long l JOIN hb_edge e ON l.f = e.f",
         "hb_count": "SELECT f, b, count(*) AS c FROM hb_bins GROUP BY f, b",
     }
 )
 
 
-def _fiat(spark, sf):
-    return cut_lineage(money.twd_features(tables(spark, sf).fiat))
+def _mart(spark, sf):
+    return cut_lineage(mart.feature_mart_lite(tables(spark, sf), AS_OF).select("user_id", *VEC))
 
 
-def _vectors(spark, sf):
-    """(user_id, vec) of every user and of the positives."""
-    vecs = cut_lineage(neighbors.standardize(_fiat(spark, sf), VEC))
+def _vectors(spark, sf, positives_only=True):
+    """(user_id, vec) of every user and of the positives, on the scale of the positives or of all users."""
+    df = _mart(spark, sf)
     black = tables(spark, sf).users.where("status = 1").select("user_id")
+    vecs = cut_lineage(neighbors.standardize(df, VEC, df.join(black, "user_id", "left_semi") if positives_only else None))
     return vecs, vecs.join(black, "user_id", "left_semi")
 
 
@@ -78,11 +100,11 @@ def _(spark, sf):
 
 @query(
     "similar_cases",
-    """SELECT qid, string_agg(CAST(rid AS STRING), ',' ORDER BY rank) AS similar_ids, max(distance) AS farthest,
-  list_sum(list_transform(range(1, 7), lambda i: abs(any_value(q.vec)[i] - avg_vec[i]))) AS feature_difference_sum
-FROM (SELECT k.*, [avg(r.vec[1]) OVER w, avg(r.vec[2]) OVER w, avg(r.vec[3]) OVER w, avg(r.vec[4]) OVER w, avg(r.vec[5]) OVER w, avg(r.vec[6]) OVER w] AS avg_vec
-      FROM knn_black k JOIN z_vec r ON k.rid = r.user_id WHERE rank <= 5 WINDOW w AS (PARTITION BY qid))
-JOIN z_vec q ON q.user_id = qid GROUP BY qid, avg_vec""",
+    f"""SELECT qid, string_agg(CAST(rid AS STRING), ',' ORDER BY rank) AS similar_ids, max(distance) AS farthest,
+  list_sum(list_transform(range(1, {len(VEC) + 1}), lambda i: abs(any_value(q.vec)[i] - avg_vec[i]))) AS feature_difference_sum
+FROM (SELECT k.*, [{", ".join(f"avg(r.vec[{i + 1}]) OVER w" for i in range(len(VEC)))}] AS avg_vec
+      FROM knn_black k JOIN zb_vec r ON k.rid = r.user_id WHERE rank <= 5 WINDOW w AS (PARTITION BY qid))
+JOIN zb_vec q ON q.user_id = qid GROUP BY qid, avg_vec""",
     ratio="farthest feature_difference_sum",
 )
 def _(spark, sf):
@@ -103,7 +125,7 @@ JOIN lof_lrd own ON own.qid = n.qid GROUP BY n.qid""",
     ratio="lof_score",
 )
 def _(spark, sf):
-    return anomaly.lof_score(_fiat(spark, sf), VEC)
+    return anomaly.lof_score(_mart(spark, sf), VEC)
 
 
 @query(
@@ -112,23 +134,23 @@ def _(spark, sf):
     ratio="hbos_score",
 )
 def _(spark, sf):
-    return anomaly.hbos_score(_fiat(spark, sf), VEC)
+    return anomaly.hbos_score(_mart(spark, sf), VEC)
 
 
 @query("iforest_score", ratio="if_score")
 def _(spark, sf):
-    return anomaly.iforest_score(_fiat(spark, sf), VEC)
+    return anomaly.iforest_score(_mart(spark, sf), VEC)
 
 
 @query("anomaly_scores", ratio="if_score hbos_score lof_score")
 def _(spark, sf):
-    df = _fiat(spark, sf)
+    df = _mart(spark, sf)
     return anomaly.anomaly_scores(df, VEC, fit_on=split_side(df, "train")).select("user_id", "if_score", "hbos_score", "lof_score")
 
 
 @query("smote")
 def _(spark, sf):
-    vecs, black = _vectors(spark, sf)
+    vecs, black = _vectors(spark, sf, False)
     near = neighbors.knn_join(_as("qid", black), _as("rid", black), 5, exclude_self=True)
     positives = black.count()
     negatives = vecs.count() - positives
@@ -139,7 +161,7 @@ def _(spark, sf):
 
 @query("smote_borderline")
 def _(spark, sf):
-    vecs, black = _vectors(spark, sf)
+    vecs, black = _vectors(spark, sf, False)
     labels = tables(spark, sf).users.select("user_id", "status")
     around = neighbors.knn_join(_as("qid", black), _as("rid", vecs), 5, exclude_self=True)
     edge = cut_lineage(neighbors.borderline(around, labels).join(_as("rid", vecs), "rid"))
@@ -177,12 +199,12 @@ def _(spark, sf):
 
 def _labelled(spark, sf):
     t = tables(spark, sf)
-    cols = [F.col(c).cast("double").alias(c) for c in COEFS]
+    cols = [F.col(c).cast("double").alias(c) for c in VEC]
     df = mart.feature_mart_lite(t, AS_OF).select("user_id", *cols).join(t.users.select("user_id", "status"), "user_id")
     return cut_lineage(df)
 
 
-TRAIN_COLS = [c for c in COEFS if c not in models.PROTECTED]
+TRAIN_COLS = [c for c in VEC if c not in models.PROTECTED]
 
 
 @query(
@@ -206,12 +228,12 @@ def _(spark, sf):
     ratio=" ".join(VEC),
 )
 def _(spark, sf):
-    return models.scale_features(_fiat(spark, sf), VEC).select("user_id", *[F.col("scaled")[i].alias(c) for i, c in enumerate(VEC)])
+    return models.scale_features(_mart(spark, sf), VEC).select("user_id", *[F.col("scaled")[i].alias(c) for i, c in enumerate(VEC)])
 
 
 @query("scale_features_robust", ratio=" ".join(VEC))
 def _(spark, sf):
-    return models.scale_features(_fiat(spark, sf), VEC, robust=True).select(
+    return models.scale_features(_mart(spark, sf), VEC, robust=True).select(
         "user_id", *[F.col("scaled")[i].alias(c) for i, c in enumerate(VEC)]
     )
 
@@ -220,12 +242,12 @@ def _(spark, sf):
     "zero_variance",
     " UNION ALL ".join(
         f"SELECT '{c}' AS feature, stddev_samp({c}) AS std, CASE WHEN stddev_samp({c}) = 0 THEN 1 ELSE 0 END AS zero_variance FROM f_mart_lite"
-        for c in COEFS
+        for c in VEC
     ),
     money="std",
 )
 def _(spark, sf):
-    return models.column_deviation(_labelled(spark, sf), list(COEFS))
+    return models.column_deviation(_labelled(spark, sf), VEC)
 
 
 _names = [*COEFS, "status"]
@@ -248,32 +270,32 @@ def _(spark, sf):
 def _(spark, sf):
     df = _labelled(spark, sf)
     wide = df.withColumns({"twd_dep_mean_copy": F.col("twd_dep_mean") * 2 + F.col("age") * 1e-3, "always_one": F.lit(1.0)})
-    return models.select_features(wide, [*COEFS, "twd_dep_mean_copy", "always_one"], importance_rounds=ROUNDS)[1]
+    return models.select_features(wide, [*VEC, "twd_dep_mean_copy", "always_one"])[1]
 
 
 @query("base_models", ratio="score")
 def _(spark, sf):
     df = _labelled(spark, sf)
-    return models.base_model_scores(split_side(df, "train"), split_side(df, "predict"), TRAIN_COLS, ROUNDS)
+    return models.base_model_scores(split_side(df, "train"), split_side(df, "predict"), TRAIN_COLS)
 
 
 @query("focal_second_pass", ratio="risk_score")
 def _(spark, sf):
     df = _labelled(spark, sf)
-    model = models.focal_second_pass(split_side(df, "train"), TRAIN_COLS, ROUNDS)
+    model = models.focal_second_pass(split_side(df, "train"), TRAIN_COLS)
     scored_rows = models.positive_probability(model.transform(models.assemble(df, TRAIN_COLS)), "risk_score")
     return scored_rows.select("user_id", "status", "risk_score")
 
 
 @query("stacked_scores", ratio="boost_a boost_b boost_c risk_score")
 def _(spark, sf):
-    return models.fit_stack(split_side(_labelled(spark, sf), "train"), TRAIN_COLS, folds=3, rounds=ROUNDS)[1]
+    return models.fit_stack(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)[1]
 
 
 @query("submission", ratio="risk_score")
 def _(spark, sf):
     df = _labelled(spark, sf)
-    stack, oof = models.fit_stack(split_side(df, "train"), TRAIN_COLS, folds=3, rounds=ROUNDS)
+    stack, oof = models.fit_stack(split_side(df, "train"), TRAIN_COLS)
     # the threshold comes from out-of-fold scores, never from the users being scored
     threshold = best_threshold(pr_curve(oof)).first()["threshold"]
     return models.submission(stack.score(split_side(df, "predict")), float(threshold))
@@ -283,7 +305,7 @@ def _(spark, sf):
 def _(spark, sf):
     train = cut_lineage(models.class_weight(models.assemble(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)))
     rows = []
-    for name, learner in models.learners(ROUNDS, forest=True).items():
+    for name, learner in models.learners(forest=True).items():
         rows += [(name, c, float(v)) for c, v in zip(TRAIN_COLS, learner.fit(train).featureImportances.toArray())]
     return models.mean_importance(spark.createDataFrame(rows, "model string, feature string, importance double"))
 
@@ -295,14 +317,14 @@ def _(spark, sf):
 
 @query("tune", ratio="step sampling f1")
 def _(spark, sf):
-    return models.tune(split_side(_labelled(spark, sf), "train"), TRAIN_COLS, trials=2, folds=2, rounds=(2, ROUNDS))
+    return models.tune(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)
 
 
 @query("ablation", ratio="auc_roc auc_pr f1 precision recall fpr delta_auc_pr delta_f1")
 def _(spark, sf):
     df = models.stratified_folds(_labelled(spark, sf))
     configs = {"user": TRAIN_COLS[:5], "user_fiat": TRAIN_COLS[:9], "all": TRAIN_COLS}
-    return models.ablation(df.where("fold <> 0"), df.where("fold = 0"), configs, ROUNDS)
+    return models.ablation(df.where("fold <> 0"), df.where("fold = 0"), configs)
 
 
 @query("graph_embedding")
