@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,14 @@ class Members:
     bits: int
     table: np.ndarray
 
+    def __getstate__(self):
+        # a sparse table travels small
+        return self.bits, zlib.compress(self.table.tobytes(), 1)
+
+    def __setstate__(self, state):
+        object.__setattr__(self, "bits", state[0])
+        object.__setattr__(self, "table", np.frombuffer(zlib.decompress(state[1]), np.uint64))
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes >> np.uint64(64 - self.bits)
         word = self.table[(slot >> np.uint64(6)).astype(np.int64)]
