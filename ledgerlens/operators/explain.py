@@ -39,6 +39,7 @@ FEATURE_KINDS = {
     "income_source": "ordinal",
     "user_source": "ordinal",
 }
+# Wording of the directions.
 DIRECTION_UP, DIRECTION_DOWN = "增加風險", "降低風險"
 # Wording of the report.
 REPORT_TITLE, REPORT_SCORE, REPORT_LEVEL = "  用戶風險報告  |  User ID: ", "  風險分數   : ", "  風險等級   : "
@@ -46,7 +47,7 @@ REPORT_ACTION, REPORT_FACTORS = "  建議行動   : ", "  ── 主要風險因
 REPORT_CHANGES = "  ── 可改善建議（反事實）──"
 # Stability test.
 SSR_EPSILONS, SSR_TOP_K = [0.05, 0.10, 0.15, 0.20], [1, 3, 5]
-SSR_SAMPLES, SSR_TRIALS, SSR_STABLE = 500, 10, 0.8
+SSR_TRIALS, SSR_STABLE = 10, 0.8
 
 
 def column_means(df: DataFrame, cols: list[str]) -> dict[str, float]:
@@ -326,15 +327,16 @@ def _ordered_top(coefs: dict[str, float], means: dict[str, float]) -> Column:
 def ssr(
     df: DataFrame,
     coefs: dict[str, float],
-    samples: int = SSR_SAMPLES,
+    samples: int | None = None,
     trials: int = SSR_TRIALS,
     epsilons: list[float] = SSR_EPSILONS,
     top_k: list[int] = SSR_TOP_K,
     stable: float = SSR_STABLE,
 ) -> DataFrame:
-    """Share of sampled users whose ordered top k stays the same in enough trials.
+    """Share of users whose ordered top k stays the same in enough trials.
 
-    One row per (epsilon, k, class); class -1 is everybody.
+    One row per (epsilon, k, class); class -1 is everybody. All users take part unless ``samples`` asks
+    for that many, chosen by a hash.
     """
     feats = list(coefs)
     stats = df.agg(
@@ -346,9 +348,9 @@ def ssr(
     means = {f: float(stats[f"m_{f}"]) for f in feats}
     stds = {f: float(stats[f"s_{f}"]) or 1.0 for f in feats}
     bounds = {f: (float(stats[f"l_{f}"]), float(stats[f"h_{f}"])) for f in feats}
-    sample = df.select("user_id", "status", *[F.col(f).cast("double").alias(f) for f in feats]).orderBy(
-        F.xxhash64("user_id"), "user_id"
-    ).limit(samples)
+    sample = df.select("user_id", "status", *[F.col(f).cast("double").alias(f) for f in feats])
+    if samples is not None:
+        sample = sample.orderBy(F.xxhash64("user_id"), "user_id").limit(samples)
     before = sample.withColumn("before", _ordered_top(coefs, means))
     moved = perturb(before, feats, stds, bounds, epsilons, trials).withColumn("after", _ordered_top(coefs, means))
     same = [(F.slice("before", 1, k) == F.slice("after", 1, k)).cast("int").alias(f"k{k}") for k in top_k]

@@ -28,18 +28,22 @@ def transfers(fiat: DataFrame, crypto: DataFrame) -> DataFrame:
 
 
 def fund_stay(fiat: DataFrame, crypto: DataFrame) -> DataFrame:
-    """Seconds from the last deposit to the first withdrawal strictly after it, least over tables."""
-    rows = transfers(fiat, crypto).select("src", "user_id", "ts", "kind")
-    last_dep = rows.where("kind = 0").groupBy("src", "user_id").agg(F.max("ts").alias("last_dep"))
-    return (
-        rows.where("kind = 1")
-        .join(last_dep, ["src", "user_id"])
-        .where(F.col("ts") > F.col("last_dep"))
-        .groupBy("src", "user_id")
-        .agg(F.min(seconds_between(F.col("ts"), F.col("last_dep"))).alias("stay"))
-        .groupBy("user_id")
-        .agg(F.min("stay").alias("fund_stay_sec"))
+    """Seconds from the last deposit to the first withdrawal strictly after it, least over tables.
+
+    Days come first: they spread a busy user, and only withdrawals of the last deposit's own
+    day have to be looked at one by one.
+    """
+    keys = ["src", "user_id", "day"]
+    rows = transfers(fiat, crypto).select("src", "user_id", F.to_date("ts").alias("day"), "ts", "kind")
+    daily = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("kind") == 0, F.col("ts"))).alias("dep"), F.min(F.when(F.col("kind") == 1, F.col("ts"))).alias("wit")
     )
+    last = daily.groupBy("src", "user_id").agg(F.max("dep").alias("last_dep")).where("last_dep IS NOT NULL")
+    later = daily.join(last, ["src", "user_id"]).where(F.col("day") > F.to_date("last_dep")).select("src", "user_id", F.col("wit").alias("ts"), "last_dep")
+    same = rows.where("kind = 1").join(last.withColumn("day", F.to_date("last_dep")), keys).where(F.col("ts") > F.col("last_dep"))
+    stay = F.min(seconds_between(F.col("ts"), F.col("last_dep"))).alias("fund_stay_sec")
+    out = later.unionByName(same.select("src", "user_id", "ts", "last_dep")).groupBy("user_id").agg(stay)
+    return out.where("fund_stay_sec IS NOT NULL")
 
 
 def same_day_in_out(fiat: DataFrame, crypto: DataFrame) -> DataFrame:

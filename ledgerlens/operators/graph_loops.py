@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_written
 
 # Damping, iteration limit and tolerance per node; pivots of the sampled centrality.
 ALPHA, MAX_ITER, TOLERANCE = 0.85, 100, 1e-6
@@ -25,20 +25,24 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, max_iter:
         return base.select("node", F.lit(0.0).alias("rank"))
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     hanging = base.where("dangling").count() / n
+    before = None
     for _ in range(max_iter):
         got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(
             F.sum(F.col("rank") * F.col("share")).alias("got")
         )
         new = alpha * (F.coalesce("got", F.lit(0.0)) + hanging / n) + (1 - alpha) / n
-        ranks = cut_lineage(
+        written = cut_lineage(
             ranks.join(got, ranks.node == got.dst, "left").select(
                 "node", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")
             )
         )
-        moved, hanging = ranks.agg(
+        moved, hanging = written.agg(
             F.sum("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
         ).first()
-        ranks = ranks.drop("moved")
+        ranks = written.drop("moved")
+        if before is not None:
+            drop_written(before)
+        before = written
         if moved < n * tol:
             break
     return ranks.select("node", "rank")
@@ -64,11 +68,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             )
         )
         if near.where("old <> component").isEmpty():
+            drop_written(near)
             return labels
         jump = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = cut_lineage(
-            near.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"))
-        )
+        new = cut_lineage(near.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
+        drop_written(labels)
+        drop_written(near)
+        labels = new
 
 
 def component_size(labels: DataFrame) -> DataFrame:

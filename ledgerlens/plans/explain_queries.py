@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import FEATURE_LABELS, feature_label
-from ..functions.levels import composite_risk
+from ..functions.levels import COMPOSITE_V1, COMPOSITE_V1_NO_KYC, composite_risk
 from ..operators import explain, mart
 from ..operators.scoring import DASHBOARD_THRESHOLD
 from ..session import cut_lineage
@@ -33,7 +33,9 @@ COEFS = {
     "ip_max_shared": 0.002,
     "fund_stay_sec": -1e-8,
 }
-USED = sorted(set(COEFS) | set(explain.MUTABLE_FEATURES))
+# The composite score before clipping is linear; its reports are explained by its own weights.
+COMPOSITE = {"has_kyc_level2": -COMPOSITE_V1_NO_KYC, **COMPOSITE_V1}
+USED = sorted(set(COEFS) | set(COMPOSITE) | set(explain.MUTABLE_FEATURES))
 
 
 def _label_sql(col: str) -> str:
@@ -48,17 +50,27 @@ def _fixed(col: str, digits: int) -> str:
     )
 
 
+def _long_sql(coefs: dict[str, float]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT user_id, '{f}' AS feature, {i} AS fidx, CAST({f} AS DOUBLE) AS value,"
+        f" round_even({w!r}::DOUBLE * ({f} - (SELECT avg({f}) FROM f_mart_lite)) * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS shap FROM f_mart_lite"
+        for i, (f, w) in enumerate(coefs.items())
+    )
+
+
+def _top_sql(long: str) -> str:
+    return f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY abs(shap) DESC, fidx) AS INT) AS rank,
+  CASE WHEN shap > 0 THEN '{explain.DIRECTION_UP}' ELSE '{explain.DIRECTION_DOWN}' END AS direction FROM {long}
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(shap) DESC, fidx) <= 10"""
+
+
 add_blocks(
     {
-        "at_long": " UNION ALL ".join(
-            f"SELECT user_id, '{f}' AS feature, {i} AS fidx, CAST({f} AS DOUBLE) AS value,"
-            f" round_even({w!r}::DOUBLE * ({f} - (SELECT avg({f}) FROM f_mart_lite)) * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS shap FROM f_mart_lite"
-            for i, (f, w) in enumerate(COEFS.items())
-        ),
-        "at_top": """
-SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY abs(shap) DESC, fidx) AS INT) AS rank,
-  CASE WHEN shap > 0 THEN '增加風險' ELSE '降低風險' END AS direction FROM at_long
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(shap) DESC, fidx) <= 10""",
+        "at_long": _long_sql(COEFS),
+        "at_top": _top_sql("at_long"),
+        "cs_long": _long_sql(COMPOSITE),
+        "cs_top": _top_sql("cs_long"),
         "at_mean": "SELECT feature, avg(abs(shap)) AS mean_abs_shap FROM at_long GROUP BY feature",
         "at_rank": """
 SELECT feature, mean_abs_shap, CAST(row_number() OVER (ORDER BY mean_abs_shap DESC, feature) AS INT) AS rank,
@@ -90,14 +102,14 @@ def _features(spark, sf):
     return cut_lineage(mart.feature_mart_lite(tables(spark, sf), AS_OF))
 
 
-def _long(spark, sf):
-    df = _features(spark, sf).select("user_id", *COEFS)
-    means = explain.column_means(df, list(COEFS))
-    return explain.attributions(df, COEFS, means).withColumn("shap", grid(F.col("shap")))
+def _long(spark, sf, coefs=COEFS):
+    df = _features(spark, sf).select("user_id", *coefs)
+    means = explain.column_means(df, list(coefs))
+    return explain.attributions(df, coefs, means).withColumn("shap", grid(F.col("shap")))
 
 
-def _top(spark, sf):
-    return explain.shap_top10(_long(spark, sf))
+def _top(spark, sf, coefs=COEFS):
+    return explain.shap_top10(_long(spark, sf, coefs))
 
 
 def _black(spark, sf):
@@ -131,14 +143,14 @@ def _(spark, sf):
 @query(
     "shap_group_mean",
     f"""SELECT feature, contribution, {_label_sql('feature')} AS label FROM (
-  SELECT feature, round(avg(shap), 4) AS contribution FROM at_top WHERE user_id IN (
+  SELECT feature, round(avg(shap), 4) AS contribution FROM cs_top WHERE user_id IN (
     SELECT user_id FROM risk_grid WHERE status = 1 AND risk_score < 0.8415) GROUP BY feature)
 ORDER BY abs(contribution) DESC, feature LIMIT 10""",
     ratio="contribution",
 )
 def _(spark, sf):
     missed = scored(spark, sf).where((F.col("status") == 1) & (F.col("risk_score") < DASHBOARD_THRESHOLD))
-    return explain.shap_group_mean(_top(spark, sf), missed)
+    return explain.shap_group_mean(_top(spark, sf, COMPOSITE), missed)
 
 
 @query(
@@ -222,10 +234,10 @@ RISK_LINE = (
     f"""SELECT user_id, concat('{explain.REPORT_TITLE}', CAST(user_id AS STRING), chr(10), '{explain.REPORT_SCORE}', {_fixed('risk_score', 4)}, chr(10),
   '{explain.REPORT_LEVEL}', lvl, chr(10), '{explain.REPORT_ACTION}', {ACTION_SQL}, chr(10), '{explain.REPORT_FACTORS}', chr(10), lines) AS report
 FROM (SELECT *, {_closed_left('risk_score')} AS lvl FROM risk_grid) JOIN (
-  SELECT user_id, string_agg({RISK_LINE}, chr(10) ORDER BY rank) AS lines FROM at_top WHERE rank <= 5 GROUP BY user_id) USING (user_id)""",
+  SELECT user_id, string_agg({RISK_LINE}, chr(10) ORDER BY rank) AS lines FROM cs_top WHERE rank <= 5 GROUP BY user_id) USING (user_id)""",
 )
 def _(spark, sf):
-    return explain.risk_report(scored(spark, sf), _top(spark, sf))
+    return explain.risk_report(scored(spark, sf), _top(spark, sf, COMPOSITE))
 
 
 CHANGE_LINE = (
@@ -239,31 +251,40 @@ CHANGE_LINE = (
   '{explain.REPORT_LEVEL}', lvl, chr(10), '{explain.REPORT_ACTION}', {ACTION_SQL}, chr(10), '{explain.REPORT_FACTORS}', chr(10), lines,
   CASE WHEN changes IS NULL THEN '' ELSE concat(chr(10), '{explain.REPORT_CHANGES}', chr(10), changes) END) AS report
 FROM (SELECT *, {_closed_left('risk_score')} AS lvl FROM risk_grid) r JOIN (
-  SELECT user_id, string_agg({RISK_LINE}, chr(10) ORDER BY rank) AS lines FROM at_top WHERE rank <= 5 GROUP BY user_id) t ON t.user_id = r.user_id
+  SELECT user_id, string_agg({RISK_LINE}, chr(10) ORDER BY rank) AS lines FROM cs_top WHERE rank <= 5 GROUP BY user_id) t ON t.user_id = r.user_id
 LEFT JOIN (SELECT user_id, string_agg({CHANGE_LINE}, chr(10) ORDER BY rank) AS changes FROM cf_top GROUP BY user_id) c ON c.user_id = r.user_id""",
 )
 def _(spark, sf):
     features = _features(spark, sf)
-    return explain.risk_report(scored(spark, sf), _top(spark, sf), _changes(features))
+    return explain.risk_report(scored(spark, sf), _top(spark, sf, COMPOSITE), _changes(features))
 
 
 @query("predict_reports", ratio="risk_score")
 def _(spark, sf):
     predict = split_side(scored(spark, sf), "predict")
-    return explain.predict_reports(predict, _top(spark, sf), _changes(_features(spark, sf)))
+    return explain.predict_reports(predict, _top(spark, sf, COMPOSITE), _changes(_features(spark, sf)))
 
 
 @query("predict_list", ratio="risk_score")
 def _(spark, sf):
-    return explain.predict_list(split_side(scored(spark, sf), "predict"), _top(spark, sf), DASHBOARD_THRESHOLD)
+    return explain.predict_list(split_side(scored(spark, sf), "predict"), _top(spark, sf, COMPOSITE), DASHBOARD_THRESHOLD)
+
+
+PERTURBED = [*COEFS, "sex", "income_source", "user_source", "career"]
 
 
-@query("perturb", ratio="age ip_night_ratio is_app_user twd_dep_count")
+@query("perturb", ratio=" ".join(PERTURBED))
 def _(spark, sf):
-    cols = ["age", "ip_night_ratio", "is_app_user", "twd_dep_count"]
-    df = _features(spark, sf).select("user_id", *[F.col(c).cast("double").alias(c) for c in cols])
-    s = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
-    return explain.perturb(df, cols, {c: float(s[c]) for c in cols}, {}, epsilons=[0.1], trials=2)
+    codes = tables(spark, sf).users.select("user_id", "sex", "income_source", "user_source", "career")
+    df = _features(spark, sf).select("user_id", *COEFS).join(codes, "user_id")
+    df = cut_lineage(df.select("user_id", *[F.col(c).cast("double").alias(c) for c in PERTURBED]))
+    measures = [f(c).alias(f"{f.__name__}_{c}") for c in PERTURBED for f in (F.stddev_pop, F.min, F.max)]
+    s = df.agg(*measures).first()
+    stds = {c: float(s[f"stddev_pop_{c}"]) for c in PERTURBED}
+    bounds = {c: (float(s[f"min_{c}"]), float(s[f"max_{c}"])) for c in PERTURBED}
+    careers = [float(v) for v in range(1, 32)]
+    kinds = explain.FEATURE_KINDS | {"career": "label_encoded"}
+    return explain.perturb(df, PERTURBED, stds, bounds, kinds=kinds, valid={"career": careers})
 
 
 @query("ssr", ratio="epsilon ssr")

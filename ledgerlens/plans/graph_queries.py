@@ -12,6 +12,24 @@ from .common import scored
 from .oracle import add_blocks
 from .registry import query
 
+def _hops_sql(hops: int = trace.MAX_HOPS) -> dict[str, str]:
+    """Levels of the breadth-first search: per (seed, node) the path whose (time, node) list comes first."""
+    blocks = {
+        "tr_h0": "SELECT seed, seed AS node, NULL::VARCHAR AS parent, []::STRUCT(t BIGINT, n VARCHAR)[] AS pos, [seed] AS path_nodes, NULL::TIMESTAMP AS earliest, 0.0::DOUBLE AS total FROM tr_seeds",
+    }
+    leaves = []
+    for k in range(1, hops + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM tr_h{j} v WHERE v.seed = p.seed AND v.node = l.src)" for j in range(k))
+        blocks[f"tr_h{k}"] = f"""
+SELECT * FROM (
+  SELECT p.seed, l.src AS node, p.node AS parent, list_append(p.pos, {{'t': epoch_us(l.ts), 'n': l.src}}) AS pos, list_prepend(l.src, p.path_nodes) AS path_nodes,
+    least(p.earliest, l.ts) AS earliest, p.total + l.amount AS total FROM tr_h{k - 1} p JOIN tr_links l ON l.dst = p.node WHERE TRUE {seen})
+QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY pos) = 1"""
+        last = "" if k == hops else f" WHERE NOT EXISTS (SELECT 1 FROM tr_h{k + 1} t WHERE t.seed = o.seed AND t.parent = o.node)"
+        leaves.append(f"SELECT seed, node, {k} AS hop_count, earliest, total, pos, path_nodes FROM tr_h{k} o{last}")
+    return blocks | {"tr_leaves": " UNION ALL ".join(leaves)}
+
+
 add_blocks(
     {
         "g_edges": """
@@ -117,22 +135,14 @@ LEFT JOIN (SELECT src, dst, arg_max(amount, {'t': ts, 'a': amount}) AS amount, m
         "tr_links": """
 SELECT * FROM tr_flows WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY ts, amount, edge_type) = 1""",
         "tr_seeds": "SELECT concat('user_', CAST(user_id AS STRING)) AS seed FROM risk_grid WHERE status = 1 OR risk_score >= 0.8415",
-        "tr_one": "SELECT s.seed, l.src AS node, l.ts AS t1, l.amount AS a1 FROM tr_seeds s JOIN tr_links l ON l.dst = s.seed",
-        "tr_two": """
-SELECT o.seed, l.src AS node, o.node AS parent, o.t1, o.a1, l.ts AS t2, l.amount AS a2 FROM tr_one o JOIN tr_links l ON l.dst = o.node
-WHERE l.src <> o.seed AND NOT EXISTS (SELECT 1 FROM tr_one v WHERE v.seed = o.seed AND v.node = l.src)
-QUALIFY row_number() OVER (PARTITION BY o.seed, l.src ORDER BY o.t1, o.node, l.ts) = 1""",
-        "tr_leaves": """
-SELECT seed, node, 1 AS hop_count, t1 AS earliest, a1 AS total, t1 AS o1, node AS o2, NULL::TIMESTAMP AS o3, node AS o4, [node, seed] AS path_nodes
-FROM tr_one o WHERE NOT EXISTS (SELECT 1 FROM tr_two t WHERE t.seed = o.seed AND t.parent = o.node)
-UNION ALL SELECT seed, node, 2, least(t1, t2), a1 + a2, t1, parent, t2, node, [node, parent, seed] FROM tr_two""",
+        **_hops_sql(),
         "tr_scored": """
 SELECT l.*, coalesce(r.risk_score, 0) AS source_risk_score,
   least(hop_count / 5.0::DOUBLE, 1.0) * 0.4::DOUBLE + CASE WHEN total > 0 THEN least(total / 1000000.0::DOUBLE, 1.0) ELSE least(hop_count / 5.0::DOUBLE, 1.0) END * 0.3::DOUBLE
     + coalesce(r.risk_score, 0) * 0.3::DOUBLE AS score
 FROM tr_leaves l LEFT JOIN risk_grid r ON l.node = concat('user_', CAST(r.user_id AS STRING))""",
         "tr_best": """
-SELECT * FROM tr_scored QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, hop_count, o1, o2, o3, o4) = 1""",
+SELECT * FROM tr_scored QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, hop_count, pos) = 1""",
         "ch_nodes": """
 SELECT seed AS fraud_node_id, i - 1 AS pos, path_nodes[i] AS node, coalesce(r.risk_score, 0) AS phi
 FROM (SELECT seed, path_nodes, unnest(range(1, len(path_nodes) + 1)) AS i FROM tr_best)
@@ -337,30 +347,11 @@ MART_SQL = """SELECT *, least(greatest((1 - has_kyc_level2) * 0.30::DOUBLE + twd
   + crypto_currency_diversity * 0.10::DOUBLE + career_income_risk * 0.20::DOUBLE, 0), 1) AS composite_risk_score FROM mart_full1"""
 
 
-@query(
-    "feature_mart",
-    MART_SQL,
-    money=MART_MONEY,
-    ratio=MART_RATIO,
-    fine="pagerank_score",
-)
-def _(spark, sf):
-    """Without the sampled centrality, by far the most expensive column."""
-    edges, nodes = _peers(spark, sf)
-    sizes = graph_loops.component_size(graph_loops.components(edges, nodes))
-    ranks = graph_loops.pagerank(edges, nodes).withColumnRenamed("rank", "pagerank_score")
-    frame = ranks.join(graph.graph_degree(edges, nodes), "node").join(sizes, "node").withColumnRenamed("node", "user_id")
-    return mart.feature_mart(tables(spark, sf), AS_OF, frame)
+MART_FULL_SQL = f"""SELECT m.* EXCLUDE (composite_risk_score), coalesce(p.betweenness_centrality, 0) AS betweenness_centrality, composite_risk_score
+FROM ({MART_SQL}) m LEFT JOIN p_features p ON p.user_id = m.user_id"""
 
 
-@query(
-    "feature_mart_full",
-    f"""SELECT m.* EXCLUDE (composite_risk_score), coalesce(p.betweenness_centrality, 0) AS betweenness_centrality, composite_risk_score
-FROM ({MART_SQL}) m LEFT JOIN p_features p ON p.user_id = m.user_id""",
-    money=MART_MONEY,
-    ratio=MART_RATIO,
-    fine="pagerank_score betweenness_centrality",
-)
+@query("feature_mart", MART_FULL_SQL, money=MART_MONEY, ratio=MART_RATIO, fine="pagerank_score betweenness_centrality")
 def _(spark, sf):
     return mart.feature_mart(tables(spark, sf), AS_OF, graph_loops.graph_features(*_peers(spark, sf)))
 
@@ -374,9 +365,9 @@ def _seeds(spark, sf):
     return s, chosen.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("node"))
 
 
-def _trace(spark, sf, hops=2):
+def _trace(spark, sf):
     risks, seeds = _seeds(spark, sf)
-    return trace.trace_sources(trace.trace_edges(tables(spark, sf).crypto), seeds, risks, max_hops=hops)
+    return trace.trace_sources(trace.trace_edges(tables(spark, sf).crypto), seeds, risks)
 
 
 @query("trace_edges", "SELECT * FROM tr_flows", money="amount")
@@ -389,20 +380,13 @@ def _(spark, sf):
     return trace.edge_amounts(_edges(spark, sf), trace.trace_edges(tables(spark, sf).crypto))
 
 
-@query(
-    "trace_sources",
-    """SELECT seed AS fraud_node_id, node AS source_node_id, CASE WHEN starts_with(node, 'wallet_') THEN 'wallet' ELSE 'user' END AS source_node_type,
-  to_json(path_nodes)::VARCHAR AS path_nodes, hop_count, earliest AS earliest_tx_time, total AS total_amount, source_risk_score, score FROM tr_best""",
-    money="total_amount",
-    ratio="source_risk_score score",
-)
-def _(spark, sf):
-    return _trace(spark, sf).withColumn("path_nodes", F.to_json("path_nodes")).drop("path_edges")
+TRACE_SQL = """SELECT seed AS fraud_node_id, node AS source_node_id, CASE WHEN starts_with(node, 'wallet_') THEN 'wallet' ELSE 'user' END AS source_node_type,
+  to_json(path_nodes)::VARCHAR AS path_nodes, hop_count, earliest AS earliest_tx_time, total AS total_amount, source_risk_score, score FROM tr_best"""
 
 
-@query("trace_sources_deep", ratio="source_risk_score score")
+@query("trace_sources", TRACE_SQL, money="total_amount", ratio="source_risk_score score")
 def _(spark, sf):
-    return _trace(spark, sf, trace.MAX_HOPS).withColumn("path_nodes", F.to_json("path_nodes")).drop("path_edges")
+    return _trace(spark, sf).withColumn("path_nodes", F.to_json("path_nodes")).drop("path_edges")
 
 
 @query(
@@ -456,9 +440,9 @@ def _(spark, sf):
 
 @query(
     "chain_confidence",
-    """SELECT fraud_node_id, CASE WHEN sum(backward_score) <> 0 THEN sum(phi * backward_score) / sum(backward_score) ELSE 0 END AS causal_confidence
+    """SELECT fraud_node_id, round(CASE WHEN sum(backward_score) <> 0 THEN sum(phi * backward_score) / sum(backward_score) ELSE 0 END, 4) AS causal_confidence
 FROM ch_scored GROUP BY fraud_node_id""",
-    money="causal_confidence",
+    ratio="causal_confidence",
 )
 def _(spark, sf):
     return trace.chain_confidence(trace.chain_nodes(*_chain(spark, sf)))

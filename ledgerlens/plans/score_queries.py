@@ -8,6 +8,7 @@ from ..functions import levels
 from ..functions.prefix import global_percentiles
 from ..operators import fairness, profile, scoring
 from ..sources import loader
+from ..session import work_folder
 from ..sources.fixtures import AS_OF, tables
 from .common import scored, scored_two, split_side
 from .oracle import add_blocks
@@ -157,6 +158,60 @@ def _(spark, sf):
     return loader.coerce_types(raw, "twd_transfer")
 
 
+def _frames(spark, sf):
+    t = tables(spark, sf)
+    return dict(zip(loader.BASE_TABLES, (t.users, t.fiat, t.crypto, t.trades, t.swaps)))
+
+
+@query("csv_round_trip", "SELECT user_id, created_at, kind, ori_samount, source_ip_hash FROM twd_transfer")
+def _(spark, sf):
+    """Written as quoted CSV under the alternate name, found and typed again by the reader."""
+    base = work_folder(spark)
+    loader.write_outputs({"twd_transfer_train.csv": _frames(spark, sf)["twd_transfer"]}, base, "csv")
+    return loader.read_table(spark, base, "twd_transfer").select("user_id", "created_at", "kind", "ori_samount", "source_ip_hash")
+
+
+@query("json_round_trip", "SELECT user_id, status, career, income_source, confirmed_at FROM user_info")
+def _(spark, sf):
+    base = work_folder(spark)
+    users = _frames(spark, sf)["user_info"].select("user_id", "status", "career", "income_source", "confirmed_at")
+    loader.write_outputs({"users": users}, base, "json")
+    return loader.coerce_types(spark.read.schema(users.schema).json(f"{base}/users"), "user_info")
+
+
+@query(
+    "text_round_trip",
+    "SELECT line, count(*) AS users FROM (SELECT concat('career ', CAST(career AS STRING), ' income ', CAST(income_source AS STRING)) AS line FROM user_info) GROUP BY line",
+)
+def _(spark, sf):
+    base = work_folder(spark)
+    lines = _frames(spark, sf)["user_info"].select(F.concat_ws(" ", F.lit("career"), "career", F.lit("income"), "income_source").alias("line"))
+    loader.write_outputs({"lines": lines}, base, "text")
+    return spark.read.text(f"{base}/lines").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("users"))
+
+
+@query(
+    "load_predict",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) FILTER (user_id % 5 = 0) AS row_count, count(DISTINCT user_id) FILTER (user_id % 5 = 0) AS users FROM {t}"
+        for t in loader.BASE_TABLES
+    ),
+)
+def _(spark, sf):
+    """The predict side of all tables is written and loaded; a folder without one of them loads nothing."""
+    base, partial = work_folder(spark), work_folder(spark)
+    frames = {f"{t}.parquet": split_side(df, "predict") for t, df in _frames(spark, sf).items()}
+    loader.write_outputs(frames, base)
+    loader.write_outputs({"user_info.parquet": frames["user_info.parquet"]}, partial)
+    if loader.load_predict(spark, partial) is not None:
+        raise AssertionError("a folder without all tables must load nothing")
+    out = None
+    for name, df in loader.load_predict(spark, base).items():
+        row = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count"), F.count_distinct("user_id").alias("users"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 NULL_COLS = ["created_at", "user_id", "relation_user_id", "from_wallet", "to_wallet", "currency", "source_ip_hash"]
 
 

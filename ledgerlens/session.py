@@ -48,6 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/ledgerlens-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, so a lost executor costs no recomputation.
 
@@ -55,7 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     only the columns they need, and its true size is known to the planner.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/ledgerlens-{uuid.uuid4().hex}"
+    path = work_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut_lineage`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getCheckpointDir()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if root and folder.rpartition("/")[2].startswith("ledgerlens-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -82,7 +82,9 @@ def coerce_types(df: DataFrame, table: str) -> DataFrame:
     if missing:
         raise MissingColumns(f"{table}: missing {', '.join(missing)}")
     target = {c: t for t, cols in spec.items() if t != "required" for c in cols}
-    return df.select(*[coerce(F.col(c), target[c]).alias(c) if c in target else F.col(c) for c in df.columns])
+    # a column that has its type already stays as it is, so that filters still reach the scan
+    ready = {c for c, t in df.dtypes if c in target and t == target[c] != "string"}
+    return df.select(*[coerce(F.col(c), target[c]).alias(c) if c in target and c not in ready else F.col(c) for c in df.columns])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -96,10 +98,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def read_table(spark: SparkSession, base: str, table: str, optional: bool = False) -> DataFrame | None:
+def read_table(spark: SparkSession, base: str, table: str, optional: bool = False, multi_line: bool = False) -> DataFrame | None:
     """First of <table>.parquet, <table>.csv, <table>_train.csv below ``base``.
 
-    CSV is read as text with quoted fields, doubled quotes and surrounding blanks, then coerced.
+    CSV is read as text with quoted fields, doubled quotes and surrounding blanks, then coerced. Line
+    feeds inside quotes need ``multi_line``, which reads each file in one task; without it files are split.
     """
     use_utc(spark)
     for name in (f"{table}.parquet", f"{table}.csv", f"{table}_train.csv"):
@@ -112,7 +115,7 @@ def read_table(spark: SparkSession, base: str, table: str, optional: bool = Fals
             spark.read.option("header", True)
             .option("quote", '"')
             .option("escape", '"')
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
             .option("ignoreLeadingWhiteSpace", True)
             .option("ignoreTrailingWhiteSpace", True)
             .csv(path)
