@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, drop_written
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "packed", "unpacked", "join_small"]
+__all__ = ["cut_lineage", "drop_written", "packed", "unpacked", "join_small"]
 
 SMALL_ROWS = 100_000
 SALTS = 256
