@@ -140,7 +140,7 @@ def filter_urls(
         F.transform(F.filter(host_names, lambda n: n != ""), lambda n: F.struct(F.lit("host").alias("part"), n.alias("name"))),
         F.transform(F.filter(path_names, lambda n: n != ""), lambda n: F.struct(F.lit("path").alias("part"), n.alias("name"))),
     )).alias("x")).select("host", "path", "pages", "x.part", "x.name")
-    split = cut_lineage(segment_names(named.where("part = 'host'").select("name").distinct(), unigrams(pages, html)))
+    split = cut_lineage(segment_names(named.where("part = 'host'").select("name").distinct(), cut_lineage(unigrams(pages, html))))
     # a name may stand in a third of all hosts; neither join has an aggregate on the same key behind it
     host_tokens = named.where("part = 'host'").join(split, "name").select("host", "path", "pages", F.explode("words").alias("token"))
     tokens = host_tokens.unionByName(named.where("part = 'path'").select("host", "path", "pages", F.col("name").alias("token")))
