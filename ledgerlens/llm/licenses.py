@@ -64,8 +64,12 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def rare_words(files: DataFrame, templates: DataFrame, content: str, per_template: int) -> DataFrame:
-    """(template, label, place, word, idf, total): the ``per_template`` words of each template with the highest IDF over all files."""
+def rare_words(files: DataFrame, templates: DataFrame, content: str, per_template: int, least: float) -> DataFrame:
+    """(template, label, place, word, idf, total, is_key): the ``per_template`` words of each template with the highest IDF over all files.
+
+    Key words are the rarest of them, as many as it takes for the others to stay below ``least`` of the IDF sum: a
+    file without any of them cannot reach it.
+    """
     vocabulary = templates.select(F.explode("words").alias("word")).distinct()
     seen = files.select(F.explode(F.array_distinct(words_of(F.col(f"`{content}`")))).alias("word"))
     counted = join_small(seen, vocabulary, "word", F.xxhash64(F.rand(1))).groupBy("word").agg(F.count("*").alias("files"))
@@ -74,7 +78,9 @@ def rare_words(files: DataFrame, templates: DataFrame, content: str, per_templat
     placed = templates.select("template", "label", F.posexplode("words").alias("place", "word")).join(counted, "word", "left")
     first = Window.partitionBy("template").orderBy(F.desc("idf"), "place")
     ranked = placed.withColumn("idf", F.round(idf, 6)).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_template)
-    return ranked.withColumn("total", F.sum("idf").over(Window.partitionBy("template"))).select("template", "label", "place", "word", "idf", "total")
+    rarer = first.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumns({"total": F.sum("idf").over(Window.partitionBy("template")), "above": F.coalesce(F.sum("idf").over(rarer), F.lit(0.0))})
+    return ranked.select("template", "label", "place", "word", "idf", "total", (F.col("total") - F.col("above") >= least * F.col("total")).alias("is_key"))
 
 
 def scan_licenses(
@@ -89,7 +95,7 @@ def scan_licenses(
     """The columns in ``carry`` (default all) plus n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: every place where the words of a base phrase stand in a row. Method: the ``per_template`` words with
-    the highest IDF over all files index each template. A file that holds any of them looks its words up; each hit votes
+    the highest IDF over all files index each template. A file that holds a rarest one looks its words up; each hit votes
     for a template at a relative position (place in the file minus place in the template), and a template
     whose votes at one position reach ``least`` of its IDF sum is a candidate there. It counts if its mandatory
     phrases stand at their places. ``score`` is 1 with a base phrase, else the largest share of an accepted template, else 0.
@@ -101,18 +107,20 @@ def scan_licenses(
     spark = files.sparkSession
     templates = template_table(spark) if templates is None else templates
     names = files.columns if carry is None else carry
-    index = cut_lineage(rare_words(files, templates, content, per_template))
-    anchors = sorted(r["word"] for r in index.select("word").distinct().collect())  # at most per_template words a template
+    index = cut_lineage(rare_words(files, templates, content, per_template, least))
+    listed = index.groupBy("word").agg(F.max("is_key").alias("is_key")).collect()  # at most per_template words a template
+    anchors, keys = sorted(r["word"] for r in listed), sorted(r["word"] for r in listed if r["is_key"])
     df = files.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"),
         F.xxhash64(f"`{content}`").alias("version"), words_of(F.col(f"`{content}`")).alias("words"),
     )
-    # the few files with a rare licence word
-    some = df.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in anchors]).cast("array<string>"))).select("id", "version", "words")
-    some = cut_lineage(some.groupBy("id", "version").agg(F.first("words").alias("words")))
+    # the few files with a key word
+    some = df.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in keys]).cast("array<string>"))).select("id", "version", "words")
+    some = cut_lineage(some)
     known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), F.struct(i.alias("place"), w.alias("word")))), lambda s: s.isNotNull())
     hits = some.select("id", "version", F.explode(at).alias("hit")).select("id", "version", F.col("hit.word").alias("word"), F.col("hit.place").alias("at"))
+    hits = hits.groupBy("id", "version", "word", "at").agg(F.count("*").alias("rows"))
     votes = join_small(hits, index.groupBy("word").agg(F.collect_list(F.struct("template", "place", "idf", "total")).alias("postings")), "word", F.xxhash64("id", "at"))
     votes = votes.select("id", "version", "at", F.inline("postings"))
     aligned = votes.groupBy("id", "version", "template", (F.col("at") - F.col("place")).alias("shift")).agg((F.sum("idf") / F.max("total")).alias("share"))
