@@ -1,110 +1,48 @@
 """Exact interpolated percentiles per key that survive a key holding most rows.
 
-Duplicates collapse to (key, value, weight) before anything is ranked. Keys with few
-rows use the built-in aggregate, whose state is then bounded by ``HEAVY_AFTER``. Keys
-with more go through a radix selection: three passes of 21-bit digit histograms, so
-that no task ever holds more than 2**21 histogram rows of a key.
+One plan for every size: duplicates collapse to (key, value, weight), global split points cut
+the values into ranges, and a key's wanted places are looked up first among its range totals
+(at most ``RANGES`` rows a key) and then inside the few ranges that hold them. A key with most of the rows
+is therefore spread over all ranges, and no task sorts more than a range of it.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT_BITS = 21
-HEAVY_AFTER = 1_000_000
+from ..session import cut_lineage
 
+RANGES = 256
 
-def heavy_keys(df: DataFrame, key: str, limit: int = HEAVY_AFTER, weight: str | None = None) -> DataFrame | None:
-    """Keys with more than ``limit`` rows (or weight), or None when there are none.
 
-    One count per key over a single column; the answer decides which plan is built.
-    """
-    size = F.count("*") if weight is None else F.sum(weight)
-    heavy = df.groupBy(key).agg(size.alias("_n")).where(F.col("_n") > limit).select(key)
-    return None if heavy.isEmpty() else heavy
-
-
-def exact_percentiles(
-    df: DataFrame,
-    key: str,
-    value: str,
-    weight: str,
-    ps: dict[str, float],
-    heavy: DataFrame | None = None,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, key: str, value: str, weight: str, ps: dict[str, float], ranges: int = RANGES) -> DataFrame:
     """One row per key with a double per entry of ``ps`` (name -> fraction).
 
-    ``value`` is a non-negative bigint, ``weight`` its number of occurrences.
+    ``value`` is a bigint, ``weight`` its number of occurrences.
     """
-    fractions = F.array(*[F.lit(float(p)) for p in ps.values()])
-
-    def built_in(rows: DataFrame) -> DataFrame:
-        return (
-            rows.groupBy(key)
-            .agg(F.percentile(F.col(value), fractions, F.col(weight)).alias("_p"))
-            .select(key, *[F.col("_p")[i].alias(name) for i, name in enumerate(ps)])
-        )
-
-    if heavy is None:
-        return built_in(df)
-    distinct = (
-        df.join(heavy, key, "left_semi")
-        .groupBy(key, F.col(value).alias("_v"))
-        .agg(F.sum(weight).cast("long").alias("_w"))
-    )
-    return built_in(df.join(heavy, key, "left_anti")).unionByName(_radix_percentiles(distinct, key, ps))
-
-
-def _radix_percentiles(distinct: DataFrame, key: str, ps: dict[str, float]) -> DataFrame:
-    totals = distinct.groupBy(key).agg(F.sum("_w").alias("_total"))
-    position = F.col("_f") * (F.col("_total") - 1)
-    targets = (
-        totals.select(
-            key,
-            "_total",
-            F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("f")) for n, p in ps.items()])),
-        )
-        .select(key, F.col("col.name").alias("_name"), F.col("_total"), F.col("col.f").alias("_f"))
-        .withColumn("_low", F.floor(position).cast("long"))
-        .withColumn("_share", position - F.col("_low"))
-        .select(
-            key,
-            "_name",
-            "_share",
-            F.explode(F.array(F.col("_low"), F.least(F.col("_low") + 1, F.col("_total") - 1))).alias("_start"),
-            "_low",
-        )
-        .distinct()
-        .withColumn("_rank", F.col("_start"))
-        .withColumn("_prefix", F.lit(0).cast("long"))
-    )
-    for shift in (2 * DIGIT_BITS, DIGIT_BITS, 0):
-        wanted = targets.select(key, "_prefix").distinct()
-        hist = (
-            distinct.withColumn("_prefix", F.shiftright("_v", shift + DIGIT_BITS))
-            .join(wanted, [key, "_prefix"], "left_semi")
-            .groupBy(key, "_prefix", F.shiftright("_v", shift).alias("_digit"))
-            .agg(F.sum("_w").alias("_w"))
-        )
-        running = Window.partitionBy(key, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_upto", F.sum("_w").over(running))
-        targets = (
-            targets.join(hist, [key, "_prefix"])
-            .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_w")))
-            .select(
-                key,
-                "_name",
-                "_share",
-                "_start",
-                "_low",
-                (F.col("_rank") - (F.col("_upto") - F.col("_w"))).alias("_rank"),
-                F.col("_digit").alias("_prefix"),
-            )
-        )
-    low = F.max(F.when(F.col("_start") == F.col("_low"), F.col("_prefix"))).cast("double")
-    high = F.max("_prefix").cast("double")
-    picked = targets.groupBy(key, "_name").agg((low + (high - low) * F.max("_share")).alias("_value"))
-    return picked.groupBy(key).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in ps]
+    distinct = cut_lineage(df.groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_d"), F.col(value).alias("_v")).agg(F.sum(weight).cast("long").alias("_w")))
+    probes = [i / ranges for i in range(1, ranges)]
+    inner = sorted(set(distinct.approxQuantile("_d", probes, 1 / (4 * ranges)))) if probes else []
+    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_d", outputCol="_range").transform(distinct)
+    per_key = Window.partitionBy("_k")
+    so_far = per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_k", "_range").agg(F.sum("_w").alias("_in")).select(
+        "_k", "_range", "_in", F.coalesce(F.sum("_in").over(so_far), F.lit(0)).alias("_before"), F.sum("_in").over(per_key).alias("_total")
     )
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in ps.items()]))
+    position = F.col("q.p") * (F.col("_total") - 1)
+    low = F.floor(position).cast("long")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("at")), F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("_total") - 1).alias("at"))))
+    targets = totals.select("*", wanted.alias("q")).select("_k", "_range", "_in", "_before", F.col("q.name").alias("name"), (position - low).alias("share"), both.alias("t"))
+    targets = targets.where((F.col("t.at") >= F.col("_before")) & (F.col("t.at") < F.col("_before") + F.col("_in")))
+    targets = cut_lineage(targets.select("_k", "_range", "name", "share", F.col("t.side").alias("side"), (F.col("t.at") - F.col("_before")).alias("at")))
+    needed = targets.select("_k", "_range").distinct()
+    inside = Window.partitionBy("_k", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(needed, ["_k", "_range"], "left_semi").withColumn("_upto", F.sum("_w").over(inside))
+    hits = ranked.join(targets, ["_k", "_range"]).where((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_w")))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("_v"))).cast("double")
+    picked = hits.groupBy("_k", "name").agg((side(0) + (side(1) - side(0)) * F.max("share")).alias("_p"))
+    return picked.groupBy(F.col("_k").alias(key)).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in ps])

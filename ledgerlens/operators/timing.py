@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_percentiles, heavy_keys
+from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import (
     EPS,
     MICROS_PER_DAY,
@@ -89,15 +89,12 @@ def tx_gaps(instants: DataFrame) -> DataFrame:
     return inside.unionByName(ties).unionByName(between)
 
 
-def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def tx_intervals(instants: DataFrame) -> DataFrame:
     """Mean, sample deviation, minimum and median of the gaps, in seconds."""
     gaps = tx_gaps(instants)
     # The gaps of a user add up to its time span, so both integer sums fit 38 digits.
     gap, n = F.col("gap").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)")
-    # without heavy users the median is one more aggregate of the same pass
-    median = [] if heavy is not None else [F.percentile("gap", 0.5, F.col("n")).alias("median")]
     sums = gaps.groupBy("user_id").agg(
-        *median,
         F.sum("n").alias("cnt"),
         F.sum((gap * n).cast("decimal(28,0)")).alias("s1"),
         F.sum((gap * gap * n).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s2"),
@@ -107,8 +104,7 @@ def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFra
     s1 = F.col("s1").cast("decimal(19,0)")
     centred = (F.col("s2") - (s1 * s1 / F.col("cnt").cast("decimal(19,0)"))).cast("double")
     std = F.sqrt(F.greatest(centred, F.lit(0.0)) / (F.col("cnt") - 1))
-    if heavy is not None:
-        sums = sums.join(exact_percentiles(gaps, "user_id", "gap", "n", {"median": 0.5}, heavy), "user_id")
+    sums = sums.join(exact_percentiles(gaps, "user_id", "gap", "n", {"median": 0.5}), "user_id")
     sec = float(MICROS_PER_SECOND)
     return sums.select(
         "user_id",
@@ -119,14 +115,14 @@ def tx_intervals(instants: DataFrame, heavy: DataFrame | None = None) -> DataFra
     )
 
 
-def amount_spread(tx: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def amount_spread(tx: DataFrame) -> DataFrame:
     """90th over 10th percentile of the positive amounts, capped at 1000."""
     values = (
         tx.where(F.col("raw_amount") > 0)
         .groupBy("user_id", "raw_amount")
         .agg(F.count("*").alias("n"))
     )
-    p = exact_percentiles(values, "user_id", "raw_amount", "n", {"p90": 0.9, "p10": 0.1}, heavy)
+    p = exact_percentiles(values, "user_id", "raw_amount", "n", {"p90": 0.9, "p10": 0.1})
     ratio = F.col("p90") * SCALE / (F.col("p10") * SCALE + EPS)
     return p.select("user_id", clip(ratio, high=1000.0).alias("amount_p90_p10_ratio"))
 
@@ -138,12 +134,11 @@ def temporal_features(users: DataFrame, tx: DataFrame, instants: DataFrame | Non
     it in when it exists already.
     """
     instants = cut_lineage(tx_instants(tx)) if instants is None else instants
-    heavy = heavy_keys(instants, "user_id", weight="n")
     days = instants.groupBy("user_id").agg(
         F.count_distinct(F.floor(F.col("us") / F.lit(float(MICROS_PER_DAY)))).alias("active_days")
     )
     out = users.select("user_id")
-    for part in (tx_intervals(instants, heavy), tx_bursts(instants), amount_spread(tx, heavy), days):
+    for part in (tx_intervals(instants), tx_bursts(instants), amount_spread(tx), days):
         out = out.join(part, "user_id", "left")
     return fill_zero(out)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import heavy_keys
 from ..operators import addresses, flows, mart, money, profile, timing
 from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
@@ -144,7 +143,7 @@ def _(spark, sf):
 @query("tx_intervals", "SELECT * FROM interval_users", money=TIME_MONEY)
 def _(spark, sf):
     instants = cut_lineage(timing.tx_instants(_tx(spark, sf)))
-    return timing.tx_intervals(instants, heavy_keys(instants, "user_id", weight="n"))
+    return timing.tx_intervals(instants)
 
 
 @query("cross_table_features", "SELECT * FROM f_cross", ratio=CROSS_RATIO)

@@ -270,7 +270,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = _labelled(spark, sf)
     wide = df.withColumns({"twd_dep_mean_copy": F.col("twd_dep_mean") * 2 + F.col("age") * 1e-3, "always_one": F.lit(1.0)})
-    return models.select_features(wide, [*VEC, "twd_dep_mean_copy", "always_one"])[1]
+    return models.select_features(wide, [*VEC, "twd_dep_mean_copy", "always_one"], importance_rounds=models.ROUNDS)[1]
 
 
 @query("base_models", ratio="score")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.quantiles import _radix_percentiles, exact_percentiles, heavy_keys
+from ledgerlens.functions.quantiles import exact_percentiles
 from ledgerlens.operators import flows, money, profile, timing
 
 T0 = datetime(2001, 1, 1, 12)
@@ -125,31 +125,32 @@ def test_timeline_against_plain_rules(spark):
     r = one(timing.tx_intervals(inst))
     got = (r["tx_interval_mean"], r["tx_interval_std"], r["tx_interval_min"], r["tx_interval_median"])
     assert got == pytest.approx(want[:4])
-    heavy = heavy_keys(inst, "user_id", 100, "n")
-    split = one(timing.tx_intervals(inst, heavy))
-    assert split["tx_interval_median"] == pytest.approx(want[3]) and split["tx_interval_std"] == pytest.approx(want[1])
     assert one(timing.tx_bursts(inst))["tx_burst_count"] == want[4]
     assert one(timing.amount_spread(frame))["amount_p90_p10_ratio"] == pytest.approx(min(want[5], 1000))
 
 
-def test_heavy_keys_take_the_radix_path(spark):
+def test_percentiles_of_a_key_with_most_rows(spark):
     df = spark.range(4000).select(
-        F.when(F.col("id") < 3900, 1).otherwise(2).cast("long").alias("k"),
-        F.pmod(F.xxhash64("id"), F.lit(10**12)).alias("v"),
+        F.when(F.col("id") < 3900, 1).otherwise(2 + F.col("id") % 3).cast("long").alias("k"),
+        F.when(F.col("id") < 900, 77).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**12))).alias("v"),
         (1 + F.col("id") % 3).alias("w"),
     )
     ps = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    plain = {r["k"]: r for r in exact_percentiles(df, "k", "v", "w", ps).collect()}
-    heavy = heavy_keys(df, "k", 1000)
-    assert [r["k"] for r in heavy.collect()] == [1]
-    assert heavy_keys(df, "k", 10_000) is None
-    split = {r["k"]: r for r in exact_percentiles(df, "k", "v", "w", ps, heavy).collect()}
-    assert set(split) == {1, 2}
-    for k in split:
-        for p in ps:
-            assert split[k][p] == pytest.approx(plain[k][p], rel=1e-12)
-    both = _radix_percentiles(df.groupBy("k", F.col("v").alias("_v")).agg(F.sum("w").alias("_w")), "k", ps)
-    assert both.where("k = 2").first()["p50"] == pytest.approx(plain[2]["p50"])
+    plain = df.groupBy("k").agg(F.percentile("v", [0.1, 0.5, 0.9], F.col("w")).alias("p"))
+    plain = {r["k"]: r["p"] for r in plain.collect()}
+    for ranges in (256, 3, 1):
+        got = {r["k"]: r for r in exact_percentiles(df, "k", "v", "w", ps, ranges).collect()}
+        assert set(got) == set(plain)
+        for k in plain:
+            assert [got[k][p] for p in ps] == pytest.approx(plain[k], rel=1e-12)
+
+
+def test_fund_stay_of_a_busy_user(spark):
+    times = [T0 + timedelta(hours=h) for h in (0, 5, 6, 30, 31)]
+    rows = [(7, times[1], 0), (7, times[0], 1), (7, times[2], 1), (7, times[3], 1), (8, times[4], 0), (8, times[3], 1), (9, times[1], 0), (9, times[3], 1)]
+    df = spark.createDataFrame([(u, t, k, 1) for u, t, k in rows], "user_id long, created_at timestamp, kind int, ori_samount long")
+    got = {r["user_id"]: r["fund_stay_sec"] for r in flows.fund_stay(df, no_crypto(spark)).collect()}
+    assert got == {7: 3600.0, 9: 90000.0}
 
 
 def test_user_without_transfers_has_zero_red_flags(spark):

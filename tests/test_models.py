@@ -93,3 +93,22 @@ def test_ssr_of_a_dominant_feature_is_stable(spark):
     )
     out = {(r["top_k"], r["class"]): r["ssr"] for r in explain.ssr(df, {"big": 1.0, "small": 1e-6}, epsilons=[0.05]).collect()}
     assert out[(1, -1)] == 1.0
+
+
+def test_scores_do_not_depend_on_units(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3))
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "user_id long, a double, b double, c double")
+    scaled = df.withColumn("b", F.col("b") * 1e4)
+    for score, name in ((anomaly.hbos_score, "hbos_score"), (anomaly.lof_score, "lof_score")):
+        one, two = ({r["user_id"]: r[name] for r in score(d, ["a", "b", "c"]).collect()} for d in (df, scaled))
+        assert one == pytest.approx(two)
+
+
+def test_histogram_score_of_values_outside_the_fitted_range(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(21)], "user_id long, a double")
+    held = spark.createDataFrame([(100, -0.4), (101, -50.0), (102, 70.0)], "user_id long, a double")
+    got = {r["user_id"]: r["hbos_score"] for r in anomaly.hbos_score(held, ["a"], fit_on=df).collect()}
+    floor = -np.log2(anomaly.HBOS_FLOOR)
+    assert got[101] == got[102] == pytest.approx(floor) and got[100] < floor
