@@ -22,8 +22,7 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go; it is trained on the labelled rows of this input."""
     model = langid.train_language_model(docs, "text", "lang", "doc_id")
-    judged = langid.identify_language(docs.select(F.struct("*").alias("document"), "text"), model, "text")
-    return judged.where(~F.col("rejected")).select("document.*")
+    return langid.keep_identified(docs, model, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

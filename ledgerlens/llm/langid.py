@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import packed, unpacked
+from .rows import unpacked
 from .textbytes import LOWER, U64, mix, text_chunks
 
 UNDETERMINED = "und"
@@ -168,14 +168,16 @@ def train_language_model(
     return LanguageModel(languages, weights.astype(np.float32), bias, scale, reject, bits)
 
 
-def _predictor(shared):
+def _predictor(shared, at: int):
+    """``at``: place of the text among the fields of the row, which is sent once."""
+
     def predict(batches):
         model: LanguageModel = shared.value
         names = pa.array([*model.languages])
         for batch in batches:
             best = np.zeros(batch.num_rows, np.int64)
             score = np.zeros(batch.num_rows)
-            for first, end, buf, offsets in text_chunks(batch.column(1)):
+            for first, end, buf, offsets in text_chunks(batch.column(0).field(at)):
                 bucket, text = subwords(buf, offsets, model.bits)
                 n = end - first
                 count = np.maximum(np.bincount(text, minlength=n), 1)
@@ -183,12 +185,25 @@ def _predictor(shared):
                 p = _softmax((z / count[:, None] + model.bias) * model.scale)
                 best[first:end], score[first:end] = p.argmax(1), p.max(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), names.take(pa.array(best)), pa.array(score), batch.column(2)], names=["row", "language", "p", "letters"]
+                [batch.column(0), names.take(pa.array(best)), pa.array(score), batch.column(1)], names=["row", "language", "p", "letters"]
             )
 
     return predict
 
 
+def _judged(reports: DataFrame, model: LanguageModel | None, report: str) -> tuple[DataFrame, Column, Column]:
+    letters = F.coalesce(F.col(f"`{report}`").rlike(r"\p{L}"), F.lit(False))
+    df = reports.select(F.struct("*").alias("row"), letters.alias("letters"))
+    if model is None:
+        df = df.select("row", F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("p"), F.lit(False).alias("letters"))
+    else:
+        schema = T.StructType([df.schema["row"]]).add("language", "string").add("p", "double").add("letters", "boolean")
+        shared = reports.sparkSession.sparkContext.broadcast(model)
+        df = df.mapInArrow(_predictor(shared, reports.columns.index(report)), schema)
+    score = F.when(F.col("letters"), F.col("p")).otherwise(F.lit(0.0))
+    return df, score, ~F.col("letters") | (score < (model.reject_below if model else 0.0))
+
+
 def identify_language(reports: DataFrame, model: LanguageModel | None, report: str = "report") -> DataFrame:
     """All columns plus lang_pred, score and rejected; every whole report is read once, no shuffle.
 
@@ -197,17 +212,12 @@ def identify_language(reports: DataFrame, model: LanguageModel | None, report: s
     calibrated ``reject_below``. Repeated rows get equal results; columns
     of the added names are replaced.
     """
-    letters = F.coalesce(F.col("report").rlike(r"\p{L}"), F.lit(False))
-    df = packed(reports, report=report).select("row", "report", letters.alias("letters"))
-    if model is None:
-        df = df.select("row", F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("p"), F.lit(False).alias("letters"))
-    else:
-        schema = T.StructType([df.schema["row"]]).add("language", "string").add("p", "double").add("letters", "boolean")
-        df = df.mapInArrow(_predictor(reports.sparkSession.sparkContext.broadcast(model)), schema)
-    score: Column = F.when(F.col("letters"), F.col("p")).otherwise(F.lit(0.0))
-    return unpacked(
-        df,
-        lang_pred=F.when(F.col("letters"), F.col("language")).otherwise(F.lit(UNDETERMINED)),
-        score=score,
-        rejected=~F.col("letters") | (score < (model.reject_below if model else 0.0)),
-    )
+    df, score, rejected = _judged(reports, model, report)
+    language = F.when(F.col("letters"), F.col("language")).otherwise(F.lit(UNDETERMINED))
+    return unpacked(df, lang_pred=language, score=score, rejected=rejected)
+
+
+def keep_identified(reports: DataFrame, model: LanguageModel | None, report: str = "report") -> DataFrame:
+    """The reports that are not rejected, columns unchanged."""
+    df, _, rejected = _judged(reports, model, report)
+    return df.where(~rejected).select("row.*")
