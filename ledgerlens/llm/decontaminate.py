@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import cut_lineage, packed, unpacked
+from .rows import cut_lineage, unpacked
 from .textbytes import LETTER_DIGIT_WORD, LOWER, SegmentHash, text_chunks, window_hashes, words
 
 SPANS = "array<struct<first:bigint,last:bigint>>"
@@ -72,8 +72,11 @@ def _merge(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _scanner(table, keep_report: bool):
-    """mapInArrow function that adds the hits of one broadcast part of the windows to ``spans`` and ``items``."""
+def _scanner(table, at: int):
+    """mapInArrow function that adds the hits of one broadcast part of the windows to ``spans`` and ``items``.
+
+    ``at``: place of the text among the fields of the row, which is sent once.
+    """
 
     def scan(batches):
         lengths = table.value
@@ -81,12 +84,12 @@ def _scanner(table, keep_report: bool):
             by_name = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             spans, items = by_name["spans"].to_pylist(), by_name["items"].to_pylist()
             n_words = np.zeros(batch.num_rows, np.int64)
-            for first, end, raw, offsets in text_chunks(by_name["report"]):
+            for first, end, raw, offsets in text_chunks(by_name["row"].field(at)):
                 buf = LOWER[raw]
                 starts, ends, firsts = words(buf, offsets, LETTER_DIGIT_WORD)
                 n_words[first:end] = np.diff(firsts)
                 hashes = SegmentHash(buf)(starts, ends)
-                for length, (known, at) in lengths.items():
+                for length, (known, texts) in lengths.items():
                     own = window_hashes(hashes, length)
                     if not len(own):
                         continue
@@ -96,21 +99,19 @@ def _scanner(table, keep_report: bool):
                         if w + length > firsts[i + 1]:
                             continue
                         text = b" ".join(buf[starts[w + k] : ends[w + k]].tobytes() for k in range(length))
-                        of = at[int(own[w])].get(text)
+                        of = texts[int(own[w])].get(text)
                         if of is not None:
                             a = int(w - firsts[i])
                             row = first + i
                             spans[row].append({"first": a, "last": a + length})
                             items[row].extend(of)
-            out = [by_name["row"], by_name["report"]] if keep_report else [by_name["row"]]
-            names = ["row", "report"] if keep_report else ["row"]
-            merged = [_merge(s) for s in spans]
-            out += [
-                pa.array(merged, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+            out = [
+                by_name["row"],
+                pa.array([_merge(s) for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
                 pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
                 pa.array(n_words),
             ]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "spans", "items", "n_words"])
+            yield pa.RecordBatch.from_arrays(out, names=["row", "spans", "items", "n_words"])
 
     return scan
 
@@ -135,17 +136,13 @@ def is_contaminated():
 
 def _judged(reports, benchmark, report, item_id, item_text, size, most_windows) -> DataFrame:
     sc = reports.sparkSession.sparkContext
-    df = packed(reports, report=report).select(
-        "row", "report", F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
-    )
-    schema = T.StructType([df.schema[n] for n in ("row", "report", "spans", "items")]).add("n_words", "long")
-    last = T.StructType([f for f in schema if f.name != "report"])
+    df = reports.select(F.struct("*").alias("row"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([df.schema[n] for n in ("row", "spans", "items")]).add("n_words", "long")
     windows = cut_lineage(benchmark_windows(benchmark, item_id, item_text, size))
     parts = max(1, -(-windows.count() // most_windows))
     for p in range(parts):
-        more = p + 1 < parts
-        found = _scanner(sc.broadcast(_part(windows, parts, p)), more)
-        df = df.select("row", "report", "spans", "items").mapInArrow(found, schema if more else last)
+        found = _scanner(sc.broadcast(_part(windows, parts, p)), reports.columns.index(report))
+        df = df.select("row", "spans", "items").mapInArrow(found, schema)
     return df
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import cut_lineage, packed, unpacked
+from .rows import cut_lineage, unpacked
 from .textbytes import LOWER, SPACE_WORD, U64, SegmentHash, lines, mix, text_chunks, words
 
 
@@ -61,11 +61,16 @@ def _without(text: str, spans: list[dict]) -> str:
     return "\n".join(out)
 
 
-def _cut_rows(batches):
-    for batch in batches:
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        kept = [t if not s or t is None else _without(t, s) for t, s in zip(texts, spans)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["row", "kept", "spans"])
+def _cut_rows(at: int):
+    """``at``: place of the text among the fields of the row, which is moved once."""
+
+    def cut(batches):
+        for batch in batches:
+            texts, spans = batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist()
+            kept = [t if not s or t is None else _without(t, s) for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(1)], names=["row", "kept", "spans"])
+
+    return cut
 
 
 def repeated_lines(reports: DataFrame, id_col: str = "user_id", report: str = "report", min_words: int = 5) -> DataFrame:
@@ -96,12 +101,12 @@ def drop_repeated_lines(reports: DataFrame, id_col: str = "user_id", report: str
     report; of different texts under one id the one with the smaller hash is the earlier; a null id ranks before all
     others; an existing column ``removed_spans`` is replaced.
     """
-    df = packed(reports, id=id_col, report=report).withColumn("version", F.xxhash64("report"))
+    df = reports.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{report}`").alias("version"))
     gone = repeated_lines(reports, id_col, report, min_words).select(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"), "spans")
     joined = df.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
-    joined = joined.select("row", "report", "spans")
+    joined = joined.select("row", "spans")
     schema = T.StructType([joined.schema["row"]]).add("kept", "string").add(joined.schema["spans"])
-    out = joined.mapInArrow(_cut_rows, schema)
+    out = joined.mapInArrow(_cut_rows(reports.columns.index(report)), schema)
     spans = F.coalesce("spans", F.array().cast(joined.schema["spans"].dataType))
     order = [F.col(f"`{c}`") for c in reports.columns if c.lower() != "removed_spans"]
     return unpacked(out, **{report: "kept", "removed_spans": spans}).select(*order, "removed_spans")
