@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, urls, warc
+from . import decontaminate, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, statements, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,7 +212,10 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": statements.warc_statement(),
     "op2_hierarchical_mixture": MIXTURE_SQL,
     "op3_line_dedup": LINES_SQL,
+    "op6_rare_tokens": statements.license_statement(),
     "op9_decontaminate": CONTAMINATION_SQL,
+    "op10_prefix_free": statements.STRINGS_SQL,
 }
