@@ -75,7 +75,7 @@ def _count(batches):
     for batch in batches:
         languages = batch.column(1).to_pylist()
         sums: dict[str, list] = {}
-        for first, end, buf, offsets in text_chunks(batch.column(0), 1 << 22):
+        for first, end, buf, offsets in text_chunks(batch.column(0), 1 << 21):
             gram, owner = _grams(buf, offsets)
             for language, own in _by_language(languages[first:end], owner):
                 key, n = np.unique(gram[own], return_counts=True)
@@ -261,7 +261,7 @@ def _scorer(shared):
             rules = np.zeros((len(RULES), size), np.int64)
             total, grams = np.zeros(size), np.zeros(size, np.int64)
             languages = batch.column(2).to_pylist()
-            for first, end, buf, offsets in text_chunks(batch.column(1), 1 << 21):
+            for first, end, buf, offsets in text_chunks(batch.column(1), 1 << 20):
                 rules[:, first:end] = _rule_counts(buf, offsets)
                 gram, owner = _grams(buf, offsets)
                 grams[first:end] = np.bincount(owner, minlength=end - first)

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 
 
@@ -71,7 +71,7 @@ def _powers(bits: int, inverse: bool, kind: int) -> np.ndarray:
 
 
 def powers(n: int, inverse: bool = False, kind: int = 0) -> np.ndarray:
-    return _powers(max(21, int(n).bit_length()), inverse, kind)[: n + 1]
+    return _powers(max(20, int(n).bit_length()), inverse, kind)[: n + 1]
 
 
 class SegmentHash:
