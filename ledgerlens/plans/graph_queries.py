@@ -351,6 +351,7 @@ MART_FULL_SQL = f"""SELECT m.* EXCLUDE (composite_risk_score), coalesce(p.betwee
 FROM ({MART_SQL}) m LEFT JOIN p_features p ON p.user_id = m.user_id"""
 
 
+@query("feature_mart_full", MART_FULL_SQL, money=MART_MONEY, ratio=MART_RATIO, fine="pagerank_score betweenness_centrality")
 @query("feature_mart", MART_FULL_SQL, money=MART_MONEY, ratio=MART_RATIO, fine="pagerank_score betweenness_centrality")
 def _(spark, sf):
     return mart.feature_mart(tables(spark, sf), AS_OF, graph_loops.graph_features(*_peers(spark, sf)))
@@ -384,6 +385,7 @@ TRACE_SQL = """SELECT seed AS fraud_node_id, node AS source_node_id, CASE WHEN s
   to_json(path_nodes)::VARCHAR AS path_nodes, hop_count, earliest AS earliest_tx_time, total AS total_amount, source_risk_score, score FROM tr_best"""
 
 
+@query("trace_sources_deep", TRACE_SQL, money="total_amount", ratio="source_risk_score score")
 @query("trace_sources", TRACE_SQL, money="total_amount", ratio="source_risk_score score")
 def _(spark, sf):
     return _trace(spark, sf).withColumn("path_nodes", F.to_json("path_nodes")).drop("path_edges")
