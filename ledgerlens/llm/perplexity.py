@@ -189,7 +189,6 @@ def log_probabilities(model: dict, language: str, gram: np.ndarray) -> np.ndarra
     """Interpolated log p of each distinct n-gram; an n-gram or context that was never seen leaves all to the shorter one."""
     key = _language_key(language)
     p = np.full(len(gram), 1 / 256)
-    total, back, seen = np.zeros(len(gram)), np.ones(len(gram)), np.zeros(len(gram), bool)
     for k in range(1, ORDER + 1):
         short = gram & U64((1 << (8 * k)) - 1)
         hashes, _, totals, backs = model[k - 1]

@@ -115,11 +115,6 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def owner(firsts: np.ndarray) -> np.ndarray:
-    """Index of the text of each word, from the first words."""
-    return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-
-
 def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every line that has a byte; lines end at a line feed or with the text."""
     breaks = np.flatnonzero(buf == 10)

@@ -289,7 +289,7 @@ def test_warc(spark):
         assert r["block_digest"] == sha and r["content_length"] == len(r["content"].encode())
         head, body = r["record"].split("\r\n\r\n", 1)
         assert body == r["content"] + "\r\n\r\n" and f"WARC-Block-Digest: {sha}" in head and f"Content-Length: {r['content_length']}" in head
-    payload = http.encode() and ("sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+    payload = ("sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
     assert meta["source_digest"] == payload
     assert warc.derive_records(df.where("page_id < 0")).count() == 0
 
