@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_percentiles
-from ..operators import anomaly, blacklist, graph, mart, models, neighbors
+from ..operators import anomaly, blacklist, graph, mart, models, neighbors, profile
 from ..operators.scoring import best_threshold, pr_curve
 from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
 from .common import scored, split_side
 from .explain_queries import COEFS
-from .graph_queries import _edges, _node_features
+from .graph_queries import _edges, _nodes
 from .oracle import add_blocks
 from .registry import query
 
@@ -327,8 +327,19 @@ def _(spark, sf):
     return models.ablation(df.where("fold <> 0"), df.where("fold = 0"), configs)
 
 
-@query("graph_embedding")
+USER_FEATURES = VEC[:8]
+
+
+@query("graph_embedding", ratio=" ".join(f"gnn_emb_{i}" for i in range(models.EMBEDDING_SIZE)))
 def _(spark, sf):
-    cols = ["age", "has_kyc_level2"]
-    wide = graph.neighbor_mean_features(_edges(spark, sf), _node_features(spark, sf), cols)
-    return models.graph_embedding(cut_lineage(wide), [f"l{i}_{c}" for i in (1, 2) for c in cols])
+    """One- and two-layer means of all user features; fitted on the training users, zero for users to predict."""
+    users = profile.user_features_lite(tables(spark, sf).users, AS_OF).select("user_id", *[F.col(c).cast("double").alias(c) for c in USER_FEATURES])
+    node = F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("node_id")
+    wallets = _nodes(spark, sf).where("node_type = 'wallet'").select("node_id", *[F.lit(0.0).alias(c) for c in USER_FEATURES])
+    nodes = users.select(node, *USER_FEATURES).unionByName(wallets)
+    cols = [f"l{i}_{c}" for i in (1, 2) for c in USER_FEATURES]
+    wide = cut_lineage(graph.neighbor_mean_features(_edges(spark, sf), nodes, list(USER_FEATURES)))
+    train, predict = (split_side(users, side).select(node) for side in ("train", "predict"))
+    out = models.graph_embedding(wide, cols, fit_on=wide.join(train, "node_id", "left_semi"))
+    held = out.join(predict.withColumn("held_out", F.lit(True)), "node_id", "left")
+    return held.select("node_id", *[F.when(F.col("held_out"), F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in out.columns if c != "node_id"])
