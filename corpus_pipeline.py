@@ -15,29 +15,41 @@ from ledgerlens.llm.queries import benchmark, mixture_weights, with_domain
 from ledgerlens.session import cut_lineage
 
 
+# rows of long texts that Spark hands to a Python worker at once
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go; it is trained on the labelled rows of this input."""
+    _small_batches(spark)
     model = langid.train_language_model(docs, "text", "lang", "doc_id")
     return langid.keep_identified(docs, model, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
+    _small_batches(spark)
     return order_minhash.keep_one_each(docs, "doc_id", "text")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has already are cut out of the text; n_chars follows."""
+    _small_batches(spark)
     out = lines.drop_repeated_lines(docs, "doc_id", "text")
     return _columns(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
 
 def test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go, judged by the operator's rule against the whole benchmark."""
+    _small_batches(spark)
     return decontaminate.decontaminate(docs, benchmark(spark, sf_dir), "text")
 
 
