@@ -3,7 +3,7 @@
 Text records of this project are the per-user risk reports (``user_id``, ``report``); the
 column arguments name any other. N-grams are counted by Spark over every whole report,
 per language; the model is interpolated modified Kneser-Ney over the bytes of normalised
-words, stored as sorted hash arrays.
+words. Every counted n-gram keeps its own probability; the texts look them up in sorted arrays of exact keys.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import cut_lineage, join_small, unpacked
-from .textbytes import LOWER, SPACE_WORD, U64, SegmentHash, lines, mix, text_chunks, window_hashes, words
+from .textbytes import LOWER, SPACE_WORD, U64, SegmentHash, lines, text_chunks, window_hashes, words
 
 ORDER = 5
-SLOT_BITS = 23
 UNKNOWN = "und"
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True  # fixed values of the symbol rule
@@ -137,49 +136,31 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return rows.select("order", "language", "gram", (n - own).alias("net"), none.alias("total"), none.alias("back")).unionByName(contexts)
 
 
-def _hash(order, language_key, gram):
-    return (mix(gram ^ language_key ^ (U64(order) << U64(56))) >> U64(32)).astype(np.uint32)
+def model_arrays(model: DataFrame) -> dict[int, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Per order and language: sorted n-grams, and their net, total and back; nothing is left out.
 
-
-def _language_key(language: str) -> np.uint64:
-    raw = np.frombuffer(language.encode(), np.uint8)
-    return SegmentHash(raw)(np.array([0]), np.array([len(raw)]))[0] if len(raw) else U64(1)
-
-
-def _hashed(batches):
-    for batch in batches:
-        order = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-        names = batch.column(1).dictionary_encode()
-        keys = np.array([_language_key(x) for x in names.dictionary.to_pylist()] or [0], np.uint64)
-        key = keys[names.indices.to_numpy(zero_copy_only=False)]
-        gram = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-        value = (mix(gram ^ key ^ (order << U64(56))) >> U64(32)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), *batch.columns[3:]], names=["order", "hash", "net", "total", "back"])
-
-
-def hash_arrays(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: sorted hashes, and net, total and back of their n-grams.
-
-    A hash has 32 bits; of the entries whose hashes agree in the first ``SLOT_BITS`` the one with the largest
-    values stays, and the others back off to a shorter n-gram. So an order has at most 2**SLOT_BITS entries, and the
-    arrays are bounded whatever the corpus or the number of languages.
+    All of the model comes to the driver: for other texts than those counted, and models that fit there.
     """
-    rows = model.select("order", "language", "gram", "net", "total", "back").mapInArrow(_hashed, "order int, hash bigint, net double, total double, back double")
-    rows = rows.withColumn("slot", F.shiftright("hash", 32 - SLOT_BITS)).repartition("order", "slot")
-    rows = rows.groupBy("order", "slot", "hash").agg(*[F.max(c).cast("float").alias(c) for c in ("net", "total", "back")])
-    rows = rows.groupBy("order", "slot").agg(F.max(F.struct("net", "total", "back", "hash")).alias("e"))
-    got = rows.select("order", "e.*").toArrow()
+    most = [F.max(c).alias(c) for c in ("net", "total", "back")]
+    got = model.groupBy("order", "language", "gram").agg(*most).select("order", "language", "gram", "net", "total", "back").toArrow()
     order = got.column("order").to_numpy()
-    hashes = got.column("hash").to_numpy().astype(np.uint32)
-    values = [np.nan_to_num(got.column(c).to_numpy(), nan=0.0).astype(np.float32) for c in ("net", "total", "back")]
+    names = got.column("language").combine_chunks().dictionary_encode()
+    name = names.indices.to_numpy(zero_copy_only=False)
+    grams = got.column("gram").to_numpy().astype(np.uint64)
+    values = [np.nan_to_num(got.column(c).to_numpy(), nan=0.0) for c in ("net", "total", "back")]
     out = {}
     for k in range(ORDER + 1):
-        own = np.flatnonzero(order == k)
-        own = own[np.argsort(hashes[own])]
-        out[k] = (hashes[own], *[v[own] for v in values])
+        out[k] = {}
+        for i, language in enumerate(names.dictionary.to_pylist()):
+            own = np.flatnonzero((order == k) & (name == i))
+            own = own[np.argsort(grams[own])]
+            out[k][language] = (grams[own], *[v[own] for v in values])
     return out
 
 
+hash_arrays = model_arrays  # earlier name
+
+
 def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
     return at, (known[at] == wanted) if len(known) else np.zeros(len(wanted), bool)
@@ -187,23 +168,122 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def log_probabilities(model: dict, language: str, gram: np.ndarray) -> np.ndarray:
     """Interpolated log p of each distinct n-gram; an n-gram or context that was never seen leaves all to the shorter one."""
-    key = _language_key(language)
     p = np.full(len(gram), 1 / 256)
     for k in range(1, ORDER + 1):
+        if language not in model[k]:
+            continue
         short = gram & U64((1 << (8 * k)) - 1)
-        hashes, _, totals, backs = model[k - 1]
-        at, seen = _find(hashes, _hash(k - 1, key, short >> U64(8)))
+        known, _, totals, backs = model[k - 1][language]
+        at, seen = _find(known, short >> U64(8))
         if not seen.any():
             continue
         total, back = np.where(seen, totals[at], 0), np.where(seen, backs[at], 0)
         seen &= total > 0
-        hashes, nets, _, _ = model[k]
-        at, hit = _find(hashes, _hash(k, key, short))
+        known, nets, _, _ = model[k][language]
+        at, hit = _find(known, short)
         net = np.where(hit, nets[at], 0) if len(nets) else 0.0
         p = np.where(seen, net / np.maximum(total, 1e-9) + back * p, p)
     return np.log(p)
 
 
+# ------------------------------------------------------------------ scores of the counted n-grams
+
+
+def counted_probabilities(model: DataFrame) -> DataFrame:
+    """(language, gram, logp) of every counted n-gram of ``ORDER`` bytes.
+
+    The context and the shorter n-gram of a counted one are counted themselves, so inner joins lose nothing. At
+    most 256 n-grams share either of them.
+    """
+    p = None
+    for k in range(1, ORDER + 1):
+        own = model.where((F.col("order") == k) & F.col("net").isNotNull()).select(
+            "language", "gram", "net", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND((1 << (8 * (k - 1))) - 1).alias("shorter")
+        )
+        contexts = model.where((F.col("order") == k - 1) & F.col("total").isNotNull()).select("language", F.col("gram").alias("context"), "total", "back")
+        rows = own.join(contexts, ["language", "context"])
+        below = F.lit(1 / 256)
+        if p is not None:
+            rows, below = rows.join(p.select("language", F.col("gram").alias("shorter"), F.col("p").alias("below")), ["language", "shorter"]), F.col("below")
+        p = rows.select("language", "gram", (F.col("net") / F.col("total") + F.col("back") * below).alias("p"))
+    return p.select("language", "gram", F.log("p").alias("logp"))
+
+
+PART_ROWS = 1 << 22
+
+
+class LogTable:
+    """Every counted n-gram's log p, as sorted parts of about ``PART_ROWS`` rows that are broadcast one by one.
+
+    A key is the number of the language above the ``GRAM_BITS`` bits of the n-gram, so no two n-grams share one. The driver and a
+    Python worker hold one part at a time; there are as many parts as the n-grams need.
+    """
+
+    def __init__(self, numbers: dict[str, int], bounds: list[int], parts: list):
+        self.numbers, self.bounds, self.parts = numbers, np.array(bounds, np.uint64), parts
+
+    def of_batch(self, wanted) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted keys, log p) that cover the arrays of keys that ``wanted()`` yields."""
+        if len(self.parts) == 1:
+            return self.parts[0].value
+        keys = np.zeros(0, np.uint64)
+        for some in wanted():
+            keys = np.union1d(keys, some)
+        cuts = np.searchsorted(keys, self.bounds)
+        logp = np.full(len(keys), np.nan)
+        for part, first, end in zip(self.parts, [0, *cuts], [*cuts, len(keys)]):
+            if end > first:
+                known, values = part.value
+                at, hit = _find(known, keys[first:end])
+                logp[first:end][hit] = values[at[hit]]
+                if getattr(part, "_path", None):
+                    del part._value  # the next use reads it from the worker's disk again
+        seen = ~np.isnan(logp)
+        return keys[seen], logp[seen]
+
+
+GRAM_BITS = 8 * ORDER
+
+
+def log_table(scores: DataFrame, part_rows: int | None = None) -> LogTable:
+    """``scores`` (language, gram, logp) for look-ups in tasks."""
+    part_rows = part_rows or PART_ROWS
+    sc = scores.sparkSession.sparkContext
+    names = scores.select("language").distinct().toArrow().column("language").to_pylist()
+    if len(names) >= 1 << (63 - GRAM_BITS):
+        raise ValueError(f"{len(names)} languages; at most {(1 << (63 - GRAM_BITS)) - 1} can be numbered")
+    numbers = {name: i for i, name in enumerate(sorted(names))}
+    shared = sc.broadcast(numbers)
+
+    def number(batches):
+        for batch in batches:
+            of = batch.column(0).dictionary_encode()
+            codes = np.array([shared.value[x] for x in of.dictionary.to_pylist()] or [0], np.int64)
+            key = (codes[of.indices.to_numpy(zero_copy_only=False)] << GRAM_BITS) | batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(2)], names=["key", "logp"])
+
+    rows = scores.mapInArrow(number, "key bigint, logp double")
+    # sorted files: the scan of one part skips the others
+    rows = cut_lineage(rows.sortWithinPartitions("key"))
+    n = rows.count()
+    bounds: list[int] = []
+    if n > part_rows:
+        k = -(-n // part_rows)
+        bounds = sorted(set(rows.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 10000)).first()[0]))
+    parts = []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows
+        if low is not None:
+            part = part.where(F.col("key") >= low)
+        if high is not None:
+            part = part.where(F.col("key") < high)
+        got = part.toArrow()
+        key = got.column("key").to_numpy().astype(np.uint64)
+        rank = np.argsort(key)
+        parts.append(sc.broadcast((key[rank], got.column("logp").to_numpy()[rank])))
+    return LogTable(numbers, bounds, parts)
+
+
 # ------------------------------------------------------------------ rules and verdict
 
 
@@ -252,14 +332,24 @@ def _rule_counts(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scorer(shared):
+def _scorer(table: LogTable):
+    numbers = table.numbers
+
+    def distinct(column, languages):
+        """Arrays of the keys in a batch's texts."""
+        for first, end, buf, offsets in text_chunks(column, 1 << 20):
+            gram, owner = _grams(buf, offsets)
+            for language, own in _by_language(languages[first:end], owner):
+                if len(gram[own]):
+                    yield np.unique(gram[own]) | (U64(numbers[language]) << U64(GRAM_BITS))
+
     def score(batches):
-        model = shared.value
         for batch in batches:
             size = batch.num_rows
             rules = np.zeros((len(RULES), size), np.int64)
             total, grams = np.zeros(size), np.zeros(size, np.int64)
             languages = batch.column(2).to_pylist()
+            known, values = table.of_batch(lambda: distinct(batch.column(1), languages))
             for first, end, buf, offsets in text_chunks(batch.column(1), 1 << 20):
                 rules[:, first:end] = _rule_counts(buf, offsets)
                 gram, owner = _grams(buf, offsets)
@@ -267,9 +357,14 @@ def _scorer(shared):
                 for language, own in _by_language(languages[first:end], owner):
                     # sorted n-grams: equal ones are looked up once, and neighbours lie together
                     key = np.sort((gram[own] << U64(24)) | owner[own].astype(np.uint64))
+                    if not len(key):
+                        continue
                     code = key >> U64(24)
-                    new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
-                    logp = log_probabilities(model, language, code[new])[np.cumsum(new) - 1]
+                    new = np.concatenate([[True], code[1:] != code[:-1]])
+                    at, hit = _find(known, code[new] | (U64(numbers[language]) << U64(GRAM_BITS)))
+                    if not hit.all():
+                        raise ValueError("a text has n-grams that were not counted: the table changed between two reads")
+                    logp = values[at][np.cumsum(new) - 1]
                     total[first:end] += np.bincount((key & U64((1 << 24) - 1)).astype(np.int64), logp, end - first)
             # on a fine grid, so that the order of the summands does not show
             cross = np.round(-total / np.maximum(grams, 1), 9)
@@ -308,9 +403,8 @@ def quality(
     null language counts as ``und``; repeated rows are judged one by one; added
     columns replace columns of the same name; an empty table gives an empty result.
     """
-    spark = reports.sparkSession
     counts = cut_lineage(count_ngrams(reports, report, language))
-    model = spark.sparkContext.broadcast(hash_arrays(kneser_ney(counts)))
+    table = log_table(cut_lineage(counted_probabilities(cut_lineage(kneser_ney(counts)))))
     df = reports.select(
         F.struct(*[F.col(f"`{c}`") for c in (reports.columns if carry is None else carry)]).alias("row"),
         F.col(f"`{report}`").alias("report"),
@@ -319,7 +413,7 @@ def quality(
     schema = T.StructType([df.schema["row"]]).add("language", "string")
     for r in RULES:
         schema = schema.add(r, "long")
-    scored = cut_lineage(df.mapInArrow(_scorer(model), schema.add("cross", "double")))
+    scored = cut_lineage(df.mapInArrow(_scorer(table), schema.add("cross", "double")))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     quartiles = scored.where(~failed).groupBy("language").agg(F.percentile_approx("cross", [0.25, 0.75], 10000).alias("q"))
     bands = quartiles.select("language", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
