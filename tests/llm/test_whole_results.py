@@ -1,10 +1,12 @@
 """Nothing is left out where an operator once kept a bounded part of its groups or table."""
 
+import random
+
 import numpy as np
 import pytest
-from brute import kneser_ney, lower
+from brute import kneser_ney, lower, near_classes
 
-from ledgerlens.llm import perplexity
+from ledgerlens.llm import order_minhash, perplexity
 
 
 @pytest.mark.parametrize("part_rows", [None, 3000])
@@ -29,3 +31,30 @@ def test_every_ngram_counts(spark, sf_dir, monkeypatch, part_rows):
             assert abs(got[r["user_id"]] - want) < 2e-9
             seen += 1
     assert seen > 70
+
+
+@pytest.mark.parametrize("whole", [64, 10_000])
+def test_pairs_inside_a_hot_template(spark, monkeypatch, whole):
+    """300 texts of one template, mutually just below 0.8, with a partner just above it for every third."""
+    monkeypatch.setattr(order_minhash, "WHOLE", whole)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, spots, mark):
+        out = list(words)
+        for at in spots:
+            out[at] = f"{mark}{at}"
+        return out
+
+    rows = []
+    for i in range(300):
+        text = changed(base, rng.sample(range(0, 300, 5), 7), f"u{i}_")
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(changed(text, rng.sample(range(2, 300, 5), 4), f"v{i}_"))))
+    want = near_classes(rows)
+    planted = [i for i in range(0, 300, 3) if want[1000 + i] == want[i] == i]
+    assert len(planted) > 90 and len(set(want.values())) > 250
+    df = spark.createDataFrame(rows, "user_id bigint, report string")
+    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(df)[0].collect()}
+    assert got == want
