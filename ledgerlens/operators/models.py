@@ -22,8 +22,8 @@ from .scoring import binary_metrics, meta_features
 SEED, FOLDS, MAX_CORRELATION = 42, 5, 0.95
 PROTECTED = ["is_female", "age"]
 EMBEDDING_SIZE = 16
-# boosting rounds; every round is a few Spark jobs, so there are fewer and larger steps than on one machine
-ROUNDS = 20
+# boosting rounds, and those of one configuration of the ablation
+ROUNDS, ABLATION_ROUNDS = 100, 50
 HASH_BUCKETS = 4096
 
 
@@ -188,7 +188,7 @@ def calibrate(df: DataFrame, folds: int = 3) -> DataFrame:
     return out
 
 
-def tune(train: DataFrame, cols: list[str], trials: int = 6, folds: int = 3, parallelism: int = 2, rounds: tuple = (10, 20)) -> DataFrame:
+def tune(train: DataFrame, cols: list[str], trials: int = 20, folds: int = 3, parallelism: int = 2, rounds: tuple = (50, 100)) -> DataFrame:
     """Random grid over depth, step, sampling and rounds; one row per trial with the mean fold F1."""
     import random
 
@@ -282,7 +282,7 @@ def scale_features(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return fitted.transform(assemble(df, cols)).select("user_id", vector_to_array("scaled").alias("scaled"))
 
 
-def ablation(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
+def ablation(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], rounds: int = ABLATION_ROUNDS) -> DataFrame:
     """Metrics of one learner per feature set with the change against the first set."""
     parts = None
     for i, (name, cols) in enumerate(configs.items()):
