@@ -6,11 +6,15 @@ and a text column works. Its records here are named ``file_id`` and ``content``.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .rows import cut_lineage, join_small, unpacked
 
+UPPER, LOWERCASE = string.ascii_uppercase, string.ascii_lowercase
+
 # fixed values: the base phrases and their labels
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -44,8 +48,8 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 
 def words_of(content: Column) -> Column:
-    """Lower-cased maximal runs of ASCII letters, digits and all other non-ASCII characters; null has none."""
-    parts = F.split(F.lower(F.coalesce(content, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    """Maximal runs of ASCII letters (A-Z lower-cased), digits and all non-ASCII characters; null has none."""
+    parts = F.split(F.translate(F.coalesce(content, F.lit("")), UPPER, LOWERCASE), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     return F.array_remove(parts, "")
 
 
@@ -68,7 +72,7 @@ def rare_words(files: DataFrame, templates: DataFrame, content: str, per_templat
     """(template, label, place, word, idf, total, is_key): the ``per_template`` words of each template with the highest IDF over all files.
 
     Key words are the rarest of them, as many as it takes for the others to stay below ``least`` of the IDF sum: a
-    file without any of them cannot reach it.
+    file without any of them cannot reach it. IDF values are decimals, so their sums do not depend on the order of the rows.
     """
     vocabulary = templates.select(F.explode("words").alias("word")).distinct()
     seen = files.select(F.explode(F.array_distinct(words_of(F.col(f"`{content}`")))).alias("word"))
@@ -77,9 +81,9 @@ def rare_words(files: DataFrame, templates: DataFrame, content: str, per_templat
     idf = F.log((F.lit(n) + 1.0) / (F.coalesce("files", F.lit(0)) + 1.0)) + 1.0
     placed = templates.select("template", "label", F.posexplode("words").alias("place", "word")).join(counted, "word", "left")
     first = Window.partitionBy("template").orderBy(F.desc("idf"), "place")
-    ranked = placed.withColumn("idf", F.round(idf, 6)).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_template)
+    ranked = placed.withColumn("idf", F.round(idf, 6).cast("decimal(12,6)")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_template)
     rarer = first.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({"total": F.sum("idf").over(Window.partitionBy("template")), "above": F.coalesce(F.sum("idf").over(rarer), F.lit(0.0))})
+    ranked = ranked.withColumns({"total": F.sum("idf").over(Window.partitionBy("template")), "above": F.coalesce(F.sum("idf").over(rarer), F.lit(0))})
     return ranked.select("template", "label", "place", "word", "idf", "total", (F.col("total") - F.col("above") >= least * F.col("total")).alias("is_key"))
 
 
@@ -123,7 +127,7 @@ def scan_licenses(
     hits = hits.groupBy("id", "version", "word", "at").agg(F.count("*").alias("rows"))
     votes = join_small(hits, index.groupBy("word").agg(F.collect_list(F.struct("template", "place", "idf", "total")).alias("postings")), "word", F.xxhash64("id", "at"))
     votes = votes.select("id", "version", "at", F.inline("postings"))
-    aligned = votes.groupBy("id", "version", "template", (F.col("at") - F.col("place")).alias("shift")).agg((F.sum("idf") / F.max("total")).alias("share"))
+    aligned = votes.groupBy("id", "version", "template", (F.col("at") - F.col("place")).alias("shift")).agg((F.sum("idf").cast("double") / F.max("total").cast("double")).alias("share"))
     aligned = join_small(aligned.where(F.col("share") >= least), templates.select("template", "label", "phrases"), "template", F.xxhash64("id", "shift"))
     placed = some.join(aligned, ["id", "version"])
     there = F.forall(

@@ -96,11 +96,11 @@ tpl(template, label, words) AS (VALUES {rows}),
 must(template, place, phrase) AS (VALUES {", ".join(phrases)}),
 tw AS (SELECT template, label, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM tpl),
 df AS (SELECT word, count(*) AS files FROM (SELECT doc_id, unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
-idf AS (SELECT tw.*, round(ln(((SELECT count(*) FROM d) + 1.0) / (COALESCE(files, 0) + 1.0)) + 1.0, 6) AS idf FROM tw LEFT JOIN df USING (word)),
+idf AS (SELECT tw.*, round(ln(((SELECT count(*) FROM d) + 1.0) / (COALESCE(files, 0) + 1.0)) + 1.0, 6)::DECIMAL(12, 6) AS idf FROM tw LEFT JOIN df USING (word)),
 rare AS (SELECT * FROM idf QUALIFY row_number() OVER (PARTITION BY template ORDER BY idf DESC, place) <= {per_template}),
 ix AS (SELECT *, sum(idf) OVER (PARTITION BY template) AS total FROM rare),
 hit AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d) WHERE word IN (SELECT word FROM ix)),
-vote AS (SELECT doc_id, template, label, pos - place AS shift, sum(idf) / max(total) AS share FROM hit JOIN ix USING (word) GROUP BY ALL HAVING sum(idf) / max(total) >= {least}),
+vote AS (SELECT doc_id, template, label, pos - place AS shift, sum(idf)::DOUBLE / max(total)::DOUBLE AS share FROM hit JOIN ix USING (word) GROUP BY ALL HAVING sum(idf)::DOUBLE / max(total)::DOUBLE >= {least}),
 fit AS (
   SELECT v.* FROM vote v JOIN d USING (doc_id) WHERE NOT EXISTS (
     SELECT 1 FROM must m WHERE m.template = v.template AND (v.shift + m.place < 0 OR d.w[v.shift + m.place + 1 : v.shift + m.place + len(m.phrase)] <> m.phrase))),
