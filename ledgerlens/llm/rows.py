@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_written
 
-__all__ = ["cut_lineage", "drop_written", "packed", "unpacked", "join_small"]
+__all__ = ["byte_batches", "cut_lineage", "drop_written", "packed", "unpacked", "join_small"]
 
 SMALL_ROWS = 100_000
 SALTS = 256
 
 
+@contextmanager
+def byte_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within the block, Spark hands a Python worker batches of about ``size`` bytes at most."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def packed(df: DataFrame, **needed: str) -> DataFrame:
     """One struct ``row`` with all columns, and copies of the needed ones under the operator's names."""
     return df.select(F.struct("*").alias("row"), *[F.col(f"`{c}`").alias(name) for name, c in needed.items()])

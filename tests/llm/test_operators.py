@@ -108,6 +108,10 @@ def test_near_duplicates(spark, docs, reports):
     odd = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b"), (3, "A, b!"), (5, None), (6, "")], "user_id bigint, report string")
     assert sorted((r["id"], r["class_id"]) for r in order_minhash.near_duplicates(odd)[0].collect()) == [(3, 3), (4, 3), (4, 3), (5, 5), (6, 6)]
     assert sorted((r["user_id"] or 0) for r in order_minhash.keep_one_each(odd).collect()) == [0, 3, 5, 6]
+    # an id with two unlike texts: each is judged by its own words
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    twice = spark.createDataFrame([(1, x), (1, y), (2, y + " z"), (3, x), (1, x)], "user_id bigint, report string")
+    assert sorted((r["user_id"], r["report"]) for r in order_minhash.keep_one_each(twice).collect()) == [(1, x), (1, y)]
 
 
 def test_near_copies_of_a_large_group(spark):
@@ -134,6 +138,21 @@ def test_aligned_similarity():
     assert order_minhash.aligned_similarity(a, b) == 95 / 105
     swapped = np.concatenate([a[50:], a[:50]])  # the same set in another order
     assert order_minhash.aligned_similarity(a, swapped) < 0.8
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 60, 400):  # the banded rows against the plain table
+        for _ in range(20):
+            x = rng.integers(0, max(2, size // 3), size).astype(np.uint64)
+            y = np.delete(x, rng.integers(0, size, size // 12))
+            y[rng.integers(0, len(y), len(y) // 15)] = 10**6
+            n, m, band = len(x), len(y), int((len(x) + len(y)) * 0.2 / 1.8) + 1
+            best = np.zeros((n + 1, m + 1), int)
+            for i in range(n):
+                for j in range(m):
+                    best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + 1 if x[i] == y[j] and abs(i - j) <= band else 0)
+            k = best[n, m]
+            plain = k / (n + m - k) if min(n, m) >= 0.8 * max(n, m) else 0.0
+            got = order_minhash.aligned_similarity(x, y)
+            assert got == plain or max(got, plain) < 0.8
     assert order_minhash.aligned_similarity(a, a[:70]) == 0 and order_minhash.aligned_similarity(a, a[:0]) == 0
 
 

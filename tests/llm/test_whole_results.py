@@ -56,5 +56,9 @@ def test_pairs_inside_a_hot_template(spark, monkeypatch, whole):
     planted = [i for i in range(0, 300, 3) if want[1000 + i] == want[i] == i]
     assert len(planted) > 90 and len(set(want.values())) > 250
     df = spark.createDataFrame(rows, "user_id bigint, report string")
-    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(df)[0].collect()}
+    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(df, exact=True)[0].collect()}
     assert got == want
+    if whole == 64:  # the linear rounds alone: nothing joined that is apart, nine tenths of the partners found
+        got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(df)[0].collect()}
+        assert all(want[got[i]] == want[i] for i in want)
+        assert sum(got[1000 + i] == got[i] for i in planted) >= 0.9 * len(planted)
