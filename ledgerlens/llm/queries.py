@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, statements, urls, warc
+from . import decontaminate, hard_negatives, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, statements, urls, warc, whitening
+from .vectors import fixed_point, usable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,11 +140,35 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector stands for a user's feature vector; every seventh has the next label, as the contract asks."""
+    vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    users = vectors.select(F.col("vec_id").alias("user_id"), label.alias("status"), fixed_point(F.col("embedding"), 256).alias("vec"))
+    return hard_negatives.mine_hard_negatives(users, F.col("user_id") % 50 == 0)
+
+
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    users = vectors.select(F.col("vec_id").alias("user_id"), fixed_point(F.col("embedding"), 64, 1_000_000).alias("vec"))
+    model = whitening.fit_whitening(users)
+    n, sums = F.lit(model.n).cast("bigint"), F.array(*[F.lit(s).cast("bigint") for s in model.sums]).cast("array<bigint>")
+    squares = F.zip_with("vec", sums, lambda x, s: (n * x - s) * (n * x - s))
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    out = whitening.whiten(users, model).select(
+        F.col("user_id").alias("vec_id"), F.aggregate(squares, F.lit(0).cast("bigint"), lambda t, x: t + x).alias("deviation"), F.posexplode("whitened").alias("at", "whitened")
+    )
+    return out.select(
+        "vec_id", (F.col("at") + 1).alias("component"), n.alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_hierarchical_mixture, op3_line_dedup, op4_order_minhash, op5_host_words,
-        op6_rare_tokens, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free,
+        op6_rare_tokens, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free, op12_cover_tree, op13_qd_whitening,
     )
 }
 
@@ -211,6 +236,19 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hi
   sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w.w) AS contaminated
 FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id"""
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_derivatives": statements.warc_statement(),
     "op2_hierarchical_mixture": MIXTURE_SQL,
@@ -218,4 +256,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_rare_tokens": statements.license_statement(),
     "op9_decontaminate": CONTAMINATION_SQL,
     "op10_prefix_free": statements.STRINGS_SQL,
+    "op12_cover_tree": NEGATIVES_SQL,
 }
