@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, statements, urls, warc, whitening
+from . import decontaminate, hard_negatives, langid, licenses, lines, mixing, order_minhash, perplexity, phrases, private_spans, statements, urls, warc, whitening
 from .vectors import fixed_point, usable
 
 
@@ -140,6 +140,14 @@ def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private_spans.find_personal_data(_reports(spark, sf_dir), carry=["user_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["last"])), ",")
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in private_spans.KINDS]  # noqa: B023
+    return out.select(F.col("user_id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector stands for a user's feature vector; every seventh has the next label, as the contract asks."""
     vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
@@ -168,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_hierarchical_mixture, op3_line_dedup, op4_order_minhash, op5_host_words,
-        op6_rare_tokens, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free, op12_cover_tree, op13_qd_whitening,
+        op6_rare_tokens, op7_language_id, op8_perplexity, op9_decontaminate, op10_prefix_free, op11_boosted_spans, op12_cover_tree, op13_qd_whitening,
     )
 }
 

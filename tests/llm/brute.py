@@ -107,6 +107,25 @@ def near_classes(docs, least=0.8):
     return {items[i][0]: items[find(i)][0] for i in range(len(items))}
 
 
+def personal_data(text):
+    """(start, kind number, end) of the base rules, in order."""
+    text, out = text or "", []
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
+
+    forms = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    for kind, form in enumerate(forms):
+        for m in re.finditer(form, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = (True, kind == 1 and all(int(x) <= 255 for x in m[0].split(".")), 14 <= len(d) <= 19 and luhn(d), 10 <= len(d) <= 15)[kind]
+            if good:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
 def kneser_ney(texts, order):
     """log p of every n-gram by the textbook recursion, for one language."""
     lines = [" " * (order - 1) + "".join(w + " " for w in SPACED.findall(lower(t))) for t in texts if SPACED.search(t or "")]
