@@ -283,7 +283,7 @@ def fit_whitening(vectors: DataFrame, vec: str = "vec", components: int = 16) ->
     n, sums = stats["n"], [stats[f"s{i}"] for i in range(dims)]
     factors = cut_lineage(fit.mapInArrow(_reduce(n, sums, dims), "part bigint, r binary"))
     while factors.count() > 1:  # numbers of a common range meet, so each round leaves a FAN_IN-th of the range
-        factors = cut_lineage(factors.groupBy(F.floor(F.col("part") / FAN_IN).alias("part")).applyInArrow(_merge(dims), "part bigint, r binary"))
+        factors = cut_lineage(factors.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInArrow(_merge(dims), "part bigint, r binary"))
     r = np.frombuffer(factors.first()["r"], float).reshape(-1, dims)
     found, eigenvalues, explained = solve(r, n, components)
     error = 0.0

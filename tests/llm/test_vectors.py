@@ -120,7 +120,12 @@ def test_whitening(spark, monkeypatch, fan):
     x = np.floor(rng.normal(size=(600, 20)) * np.linspace(80, 3, 20)).astype(int) + 1_000_000
     x = np.vstack([x, np.repeat(x[:1], 300, 0)])  # one vector owns a third of the rows
     df = spark.createDataFrame([(i, r.tolist(), "x", [0.0]) for i, r in enumerate(x)], "user_id bigint, vec array<bigint>, row string, whitened array<double>").repartition(9)
-    model = whitening.fit_whitening(df)
+    # as on a cluster: many partitions, so that factors are merged in rounds
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        model = whitening.fit_whitening(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     n, sums, e, v, explained, w = plain_whitening(x)
     assert model.n == n and model.sums == sums.tolist() and model.identity_error < 1e-10
     assert np.allclose(model.eigenvalues, e, rtol=1e-11) and np.allclose(model.explained, explained, rtol=1e-11)
