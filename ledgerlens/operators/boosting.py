@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, drop_written
 
 # quantile bins of a feature; rounds after which the scores so far are written; bytes of bins per task; tasks whose sums meet first
-BINS, KEEP_EVERY, TASK_BYTES, MERGE = 48, 20, 16 << 20, 32
+BINS, KEEP_EVERY, TASK_BYTES, MERGE = 48, 10, 16 << 20, 32
 LEAST_HESSIAN = 1e-7
 
 
@@ -53,6 +53,31 @@ class Model:
     kinds: tuple[int, ...] = ()
 
 
+@dataclass(frozen=True)
+class _Walk:
+    """What it takes to send rows down a tree, as arrays."""
+
+    feature: np.ndarray
+    limit: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+
+    def reach(self, x: np.ndarray) -> np.ndarray:
+        """The node each row ends in."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while True:
+            at = self.feature[node]
+            inner = at >= 0
+            if not inner.any():
+                return node
+            go = x[rows, np.maximum(at, 0)] <= self.limit[node]
+            node = np.where(inner, np.where(go, self.left[node], self.right[node]), node)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return self.leaf[self.reach(x)]
+
+
 @dataclass
 class Tree:
     """Nodes in arrays: feature (-1 at a leaf), bin and value of the split (left: at most), children, leaf value and Hessian sum."""
@@ -71,19 +96,9 @@ class Tree:
             getattr(self, name).append(v)
         return len(self.feature) - 1
 
-    def reach(self, x: np.ndarray, by_bin: bool) -> np.ndarray:
-        """The node each row ends in."""
-        node = np.zeros(len(x), np.int64)
-        feature, left, right = np.array(self.feature), np.array(self.left), np.array(self.right)
-        limit = np.array(self.bin) if by_bin else np.array(self.value)
-        rows = np.arange(len(x))
-        while True:
-            at = feature[node]
-            inner = at >= 0
-            if not inner.any():
-                return node
-            go = x[rows, np.maximum(at, 0)] <= limit[node]
-            node = np.where(inner, np.where(go, left[node], right[node]), node)
+    def walk(self, by_bin: bool) -> _Walk:
+        limit = np.array(self.bin, np.int64) if by_bin else np.array(self.value, float)
+        return _Walk(np.array(self.feature, np.int64), limit, np.array(self.left, np.int64), np.array(self.right, np.int64), np.array(self.leaf, float))
 
 
 @dataclass
@@ -97,7 +112,7 @@ class BoostedTrees:
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
         for tree in self.trees:
-            out += np.array(tree.leaf)[tree.reach(x, False)]
+            out += tree.walk(False).values(x)
         return out
 
     def importance(self) -> list[float]:
@@ -172,6 +187,23 @@ class _Growing:
     tree: Tree | None = None
     open: list[int] = field(default_factory=list)
     columns: np.ndarray | None = None
+    # trees whose values are not in the written margins yet
+    recent: list[_Walk] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class _Task:
+    """What a level needs to know of a model: place of its margin, trees to add to it, the tree so far and its open nodes."""
+
+    place: int
+    model: Model
+    recent: list[_Walk]
+    tree: _Walk
+    open: list[int]
+    columns: np.ndarray
+
+    def splits(self, sums: np.ndarray, width: int) -> bytes:
+        return best_splits(sums.reshape(len(self.open), len(self.columns), width, 2), self.model.params).tobytes()
 
 
 def _members(model: Model, fold: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -179,11 +211,11 @@ def _members(model: Model, fold: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return out & np.isin(kind, model.kinds) if model.kinds else out
 
 
-def _sum_rows(states: list[_Growing], since: list[int], width: int, round_no: int):
-    """Per task and growing model: sums of gradients and Hessians, as (nodes, columns, bins, 2) doubles."""
+def _sum_rows(tasks: list[_Task], width: int, round_no: int, whole: bool):
+    """Per task and model: sums of gradients and Hessians, as (nodes, columns, bins, 2) doubles; ``whole``: the splits, as there is one part."""
 
     def emit(batches):
-        totals: list = [None] * len(states)
+        totals: dict = {}
         for b in batches:
             n = b.num_rows
             if not n:
@@ -191,32 +223,31 @@ def _sum_rows(states: list[_Growing], since: list[int], width: int, round_no: in
             y, fold, kind, draw = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(n, -1)
             margins = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            for j, s in enumerate(states):
-                if not s.open:
-                    continue
-                use = _members(s.model, fold, kind) & sampled(draw, round_no, s.model.params)
-                x, margin = codes[use], margins[use, j].copy()
-                for tree in s.trees[since[j] :]:
-                    margin += np.array(tree.leaf)[tree.reach(x, True)]
-                g, h = gradients(margin, y[use], s.model.params)
-                place = np.full(len(s.tree.feature), -1)
-                place[s.open] = np.arange(len(s.open))
-                node = place[s.tree.reach(x, True)]
+            for t in tasks:
+                use = _members(t.model, fold, kind) & sampled(draw, round_no, t.model.params)
+                x, margin = codes[use], margins[use, t.place].copy()
+                for tree in t.recent:
+                    margin += tree.values(x)
+                g, h = gradients(margin, y[use], t.model.params)
+                place = np.full(len(t.tree.feature), -1)
+                place[t.open] = np.arange(len(t.open))
+                node = place[t.tree.reach(x)]
                 inside = node >= 0
-                x, g, h, node = x[inside], g[inside], h[inside], node[inside]
-                shape = (len(s.open), len(s.columns), width)
-                out = np.zeros((*shape, 2))
-                for k, c in enumerate(s.columns):
-                    slot = node * width + x[:, c]
-                    for m, v in enumerate((g, h)):
-                        out[:, k, :, m] = np.bincount(slot, v, shape[0] * width).reshape(shape[0], width)
-                totals[j] = out if totals[j] is None else totals[j] + out
-        some = [j for j, t in enumerate(totals) if t is not None]
+                x, g, h, node = x[inside][:, t.columns].astype(np.int64), g[inside], h[inside], node[inside]
+                # one slot per (node, column, bin)
+                slot = ((node[:, None] * len(t.columns) + np.arange(len(t.columns))) * width + x).ravel()
+                size = len(t.open) * len(t.columns) * width
+                out = np.stack([np.bincount(slot, np.repeat(v, len(t.columns)), size) for v in (g, h)], 1)
+                totals[t.place] = totals.get(t.place, 0) + out
+        some = [t for t in tasks if t.place in totals]
         if some:
             part = TaskContext.get().partitionId() // MERGE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), pa.array([totals[j].tobytes() for j in some], pa.binary())], names=["model", "part", "sums"]
-            )
+            found = [t.splits(totals[t.place], width) if whole else totals[t.place].tobytes() for t in some]
+            places = pa.array([t.place for t in some], pa.int64())
+            if whole:
+                yield pa.RecordBatch.from_arrays([places, pa.array(found, pa.binary())], names=["model", "best"])
+            else:
+                yield pa.RecordBatch.from_arrays([places, pa.array([part] * len(some), pa.int64()), pa.array(found, pa.binary())], names=["model", "part", "sums"])
 
     return emit
 
@@ -241,28 +272,29 @@ def best_splits(sums: np.ndarray, params: Params) -> np.ndarray:
     return out
 
 
-def _splitter(states: list[_Growing], width: int):
+def _splitter(tasks: list[_Task], width: int):
+    small = {t.place: _Task(t.place, t.model, [], None, t.open, t.columns) for t in tasks}
+
     def split(key, table):
-        s = states[key[0].as_py()]
+        place = key[0].as_py()
         total = sum(np.frombuffer(x.as_buffer(), float) for x in table.column("sums"))
-        best = best_splits(total.reshape(len(s.open), len(s.columns), width, 2), s.model.params)
-        return pa.table({"model": pa.array([key[0].as_py()]), "best": pa.array([best.tobytes()], pa.binary())})
+        return pa.table({"model": pa.array([place]), "best": pa.array([small[place].splits(total, width)], pa.binary())})
 
     return split
 
 
-def _advance(states: list[_Growing], since: list[int]):
+def _advance(recent: list[list[_Walk]]):
     """Margins of all models with the trees since the last written ones."""
 
     def emit(batches):
         for b in batches:
             n = b.num_rows
             codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
-            margins = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).copy() if n else np.zeros((0, len(states)))
-            for j, s in enumerate(states):
-                for tree in s.trees[since[j] :]:
-                    margins[:, j] += np.array(tree.leaf)[tree.reach(codes, True)]
-            lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * len(states), len(states), dtype=np.int32), margins.ravel())
+            margins = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).copy() if n else np.zeros((0, len(recent)))
+            for j, trees in enumerate(recent):
+                for tree in trees:
+                    margins[:, j] += tree.values(codes)
+            lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * len(recent), len(recent), dtype=np.int32), margins.ravel())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], lists], names=["y", "fold", "kind", "draw", "bins", "margins"])
 
     return emit
@@ -294,38 +326,43 @@ def fit_models(df: DataFrame, cols: list[str], models: list[Model], label: str =
     starts = F.array(*[F.lit(s.start) for s in states])
     # small tables in few parts: a part's work is its bytes
     parts = max(1, -(-rows * (len(cols) + 8 * len(models)) // TASK_BYTES))
-    state = cut_lineage(table.withColumn("margins", starts).repartition(parts)).persist()
-    since = [0] * len(states)
+    written = cut_lineage(table.withColumn("margins", starts).repartition(parts))
+    state = written.coalesce(parts).persist()
     for round_no in range(max((m.params.rounds for m in models), default=0)):
         live = [s for s in states if round_no < s.model.params.rounds and abs(s.start) < 30]
         if not live:
             break
-        for s in states:
-            s.open = []
         for s in live:
-            s.tree, s.columns = Tree(), drawn_columns(len(cols), round_no, s.model.params)
+            s.tree, s.columns, s.open = Tree(), drawn_columns(len(cols), round_no, s.model.params), [0]
             s.tree.add(0.0, 0.0)
-            s.open = [0]
         for level in range(max(s.model.params.depth for s in live)):
-            if not any(s.open for s in live):
+            tasks = [_Task(j, s.model, s.recent, s.tree.walk(True), s.open, s.columns) for j, s in enumerate(states) if s.open]
+            if not tasks:
                 break
-            part_sums = state.mapInArrow(_sum_rows(states, since, width, round_no), "model bigint, part bigint, sums binary")
-            if parts > MERGE:
-                part_sums = part_sums.groupBy("model", "part").applyInArrow(_merged, "model bigint, part bigint, sums binary")
-            got = part_sums.groupBy("model").applyInArrow(_splitter(states, width), "model bigint, best binary").collect()
-            best = {r["model"]: np.frombuffer(r["best"], float).reshape(-1, 7) for r in got}
-            for j, s in enumerate(states):
-                if s.open:
-                    _grow(s, best.get(j), edges, level + 1 < s.model.params.depth)
+            if parts == 1:  # nothing to merge
+                splits = state.mapInArrow(_sum_rows(tasks, width, round_no, True), "model bigint, best binary")
+            else:
+                sums = state.mapInArrow(_sum_rows(tasks, width, round_no, False), "model bigint, part bigint, sums binary")
+                if parts > MERGE:
+                    sums = sums.groupBy("model", "part").applyInArrow(_merged, "model bigint, part bigint, sums binary")
+                splits = sums.groupBy("model").applyInArrow(_splitter(tasks, width), "model bigint, best binary")
+            best = {r["model"]: np.frombuffer(r["best"], float).reshape(-1, 7) for r in splits.collect()}
+            for t in tasks:
+                _grow(states[t.place], best.get(t.place), edges, level + 1 < t.model.params.depth)
         for s in live:
             s.trees.append(s.tree)
+            s.recent.append(s.tree.walk(True))
+            s.open = []
         if (round_no + 1) % KEEP_EVERY == 0:
-            moved = cut_lineage(state.mapInArrow(_advance(states, since), STATE)).persist()
+            moved = cut_lineage(state.mapInArrow(_advance([s.recent for s in states]), STATE))
+            ready = moved.coalesce(parts).persist()
             state.unpersist()
-            drop_written(state)
-            state, since = moved, [len(s.trees) for s in states]
+            drop_written(written)
+            state, written = ready, moved
+            for s in states:
+                s.recent = []
     state.unpersist()
-    drop_written(state)
+    drop_written(written)
     drop_written(table)
     return {s.model.name: BoostedTrees(list(cols), s.start, s.trees) for s in states}
 

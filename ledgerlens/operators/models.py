@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import boosting
+from .boosting import BoostedTrees, Params
 from .neighbors import standardize
 from .scoring import binary_metrics, meta_features
 
@@ -116,11 +118,19 @@ def focal_second_pass(train: DataFrame, cols: list[str], rounds: int = ROUNDS):
     return learner.fit(second_on)
 
 
+# the stack's learners: as the three above, grown together by the boosting of this library
+STACK_LEARNERS = {
+    "boost_a": Params(depth=5, step=0.1, row_share=0.8, seed=SEED),
+    "boost_b": Params(depth=4, step=0.1, row_share=0.7, column_share=0.7, seed=SEED),
+    "boost_c": Params(depth=3, step=0.2, seed=SEED),
+}
+
+
 @dataclass
 class Stack:
     """Fitted fold models per learner and the meta model over their seven columns."""
 
-    models: dict[str, list]
+    models: dict[str, list[BoostedTrees]]
     meta: object
     columns: list[str]
 
@@ -134,44 +144,41 @@ class Stack:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Average the fold models of each learner, then apply the meta model."""
-        out = assemble(df, self.columns)
-        for name, fitted in self.models.items():
-            total = F.lit(0.0)
-            for i, model in enumerate(fitted):
-                out = positive_probability(model.transform(out), f"_{name}_{i}")
-                total = total + F.col(f"_{name}_{i}")
-            out = out.withColumn(name, total / len(fitted)).drop(*[f"_{name}_{i}" for i in range(len(fitted))])
-        return self._meta_score(out.select("user_id", *self.models))
+        every = {f"{name}_{i}": m for name, fitted in self.models.items() for i, m in enumerate(fitted)}
+        scores = boosting.score(df, every, ["user_id"])
+        mean = {name: sum((F.col(f"{name}_{i}") for i in range(len(fitted))), F.lit(0.0)) / len(fitted) for name, fitted in self.models.items()}
+        return self._meta_score(scores.select("user_id", *[c.alias(name) for name, c in mean.items()]))
 
     def importances(self) -> list[tuple[str, str, float]]:
         rows = []
         for name, fitted in self.models.items():
-            mean = sum(m.featureImportances.toArray() for m in fitted) / len(fitted)
-            rows += [(name, c, float(v)) for c, v in zip(self.columns, mean)]
+            shares = [[v / (sum(m.importance()) or 1.0) for v in m.importance()] for m in fitted]
+            rows += [(name, c, sum(s[i] for s in shares) / len(shares)) for i, c in enumerate(self.columns)]
         return rows
 
 
 def fit_stack(train: DataFrame, cols: list[str], folds: int = FOLDS, rounds: int = ROUNDS) -> tuple[Stack, DataFrame]:
-    """Stack fitted on (user_id, status, cols) and the out-of-fold scores of the same rows."""
-    data = cut_lineage(class_weight(assemble(stratified_folds(train, folds), cols)).select("user_id", "status", "fold", "weight", "features"))
-    fitted: dict[str, list] = {}
-    parts = None
-    for fold in range(folds):
-        inside, held = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        for name, learner in learners(rounds).items():
-            model = learner.fit(inside)
-            fitted.setdefault(name, []).append(model)
-            held = positive_probability(model.transform(held), name)
-        held = held.select("user_id", "status", *fitted)
-        parts = held if parts is None else parts.unionByName(held)
-    oof = cut_lineage(parts)
+    """Stack fitted on (user_id, status, cols) and the out-of-fold scores of the same rows.
+
+    All fold models of all learners grow in the same jobs, one per level of a round.
+    """
+    data = cut_lineage(stratified_folds(train, folds).select("user_id", "status", "fold", *cols))
+    n = {r["status"]: r["count"] for r in data.groupBy("status").count().collect()}
+    weight = max(n.get(0, 0), 1) / max(n.get(1, 0), 1)
+    jobs = [
+        boosting.Model(f"{name}_{fold}", replace(p, rounds=rounds, positive_weight=weight), without=fold) for name, p in STACK_LEARNERS.items() for fold in range(folds)
+    ]
+    every = boosting.fit_models(data, cols, jobs)
+    fitted = {name: [every[f"{name}_{fold}"] for fold in range(folds)] for name in STACK_LEARNERS}
+    scored = boosting.score(data, every, ["user_id", "status", "fold"])
+    held = {name: F.get(F.array(*[F.col(f"{name}_{fold}") for fold in range(folds)]), F.col("fold")) for name in fitted}
+    oof = cut_lineage(scored.select("user_id", "status", *[c.alias(name) for name, c in held.items()]))
     names = list(fitted)
     ready = class_weight(meta_features(oof, names), balanced=True)
     vector = VectorAssembler(inputCols=[*names, *Stack.META[3:]], outputCol="meta_vector").transform(ready)
     meta = LogisticRegression(featuresCol="meta_vector", labelCol="status", weightCol="weight", regParam=0.0, maxIter=100, standardization=True).fit(vector)
     stack = Stack(fitted, meta, cols)
-    scored = stack._meta_score(oof.select("user_id", "status", *names))
-    return stack, scored.select("user_id", "status", *names, "risk_score")
+    return stack, stack._meta_score(oof).select("user_id", "status", *names, "risk_score")
 
 
 def calibrate(df: DataFrame, folds: int = 3) -> DataFrame:

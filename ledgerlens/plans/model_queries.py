@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_percentiles
-from ..operators import anomaly, blacklist, graph, mart, models, neighbors, profile
+from ..operators import anomaly, blacklist, boosting, explain, graph, mart, models, neighbors, profile, pseudo, tree_shap
 from ..operators.scoring import best_threshold, pr_curve
 from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
@@ -327,6 +327,94 @@ def _(spark, sf):
     return models.ablation(df.where("fold <> 0"), df.where("fold = 0"), configs)
 
 
+# ---- boosting with the focal gradient, tree attributions, pseudo-labels ----
+
+FOCAL = boosting.Params(depth=4, step=0.1, objective="focal", alpha=0.75, gamma=2.0)
+
+
+def _focal_model(spark, sf):
+    df = _labelled(spark, sf)
+    return df, boosting.fit_models(split_side(df, "train"), TRAIN_COLS, [boosting.Model("risk_score", FOCAL)])
+
+
+@query("focal_boosting", ratio="risk_score")
+def _(spark, sf):
+    df, fitted = _focal_model(spark, sf)
+    return boosting.score(df, fitted, ["user_id", "status"])
+
+
+@query("model_attributions", ratio="value shap")
+def _(spark, sf):
+    """Contributions of every feature to every user's margin under the focal model."""
+    df, fitted = _focal_model(spark, sf)
+    return tree_shap.tree_attributions(df, fitted["risk_score"])
+
+
+@query("model_shap_summary", ratio="avg_abs_shap avg_shap")
+def _(spark, sf):
+    df, fitted = _focal_model(spark, sf)
+    return explain.shap_summary(explain.shap_top10(tree_shap.tree_attributions(df, fitted["risk_score"])))
+
+
+# fixed values: two small trees, so that SQL can state the attributions. A split is (column, at most, share of the weight on the left, left, right).
+FIXED_COLS = ["twd_withdraw_ratio", "ip_night_ratio", "crypto_wit_count", "account_age_days"]
+FIXED_TREES = [
+    (0, 0.5, 0.7, (1, 0.3, 0.6, -0.8, 0.1), (2, 1.0, 0.25, 0.4, 1.1)),
+    (0, 0.2, 0.4, -0.3, (0, 0.8, 0.5, 0.2, (3, 400.0, 0.35, 0.9, -0.2))),
+]
+
+
+def _fixed_tree(nested, cover=1000.0, tree=None):
+    tree = boosting.Tree() if tree is None else tree
+    node = tree.add(nested if isinstance(nested, float) else 0.0, cover)
+    if not isinstance(nested, float):
+        tree.feature[node], tree.value[node], share, left, right = nested
+        tree.left[node] = len(tree.feature)
+        _fixed_tree(left, cover * share, tree)
+        tree.right[node] = len(tree.feature)
+        _fixed_tree(right, cover * (1 - share), tree)
+    return tree
+
+
+def _fixed_model():
+    return boosting.BoostedTrees(FIXED_COLS, -1.5, [_fixed_tree(t) for t in FIXED_TREES])
+
+
+def _set_value(nested, known: frozenset) -> str:
+    """SQL of a tree's mean leaf when only the columns in ``known`` decide."""
+    if isinstance(nested, float):
+        return f"({nested!r}::DOUBLE)"
+    at, cut, share, left, right = nested
+    a, b = _set_value(left, known), _set_value(right, known)
+    if at in known:
+        return f"CASE WHEN {FIXED_COLS[at]}::DOUBLE <= {cut!r} THEN {a} ELSE {b} END"
+    return f"({share!r}::DOUBLE * {a} + (1 - {share!r}::DOUBLE) * {b})"
+
+
+def _attribution_sql() -> str:
+    """The Shapley formula over all subsets of the four columns."""
+    subsets = [frozenset(i for i in range(4) if mask >> i & 1) for mask in range(16)]
+    name = lambda s: "v" + "".join(str(int(i in s)) for i in range(4))
+    values = ", ".join(" + ".join(_set_value(t, s) for t in FIXED_TREES) + f" AS {name(s)}" for s in subsets)
+    weight = {0: 1 / 4, 1: 1 / 12, 2: 1 / 12, 3: 1 / 4}
+    rows = []
+    for i, c in enumerate(FIXED_COLS):
+        terms = " + ".join(f"{weight[len(s)]!r}::DOUBLE * ({name(s | {i})} - {name(s)})" for s in subsets if i not in s)
+        rows.append(f"SELECT user_id, '{c}' AS feature, {i}::INT AS fidx, {c}::DOUBLE AS value, {terms} AS shap FROM v")
+    return f"WITH v AS (SELECT user_id, {', '.join(FIXED_COLS)}, {values} FROM (SELECT user_id, {', '.join(f'COALESCE({c}, 0) AS {c}' for c in FIXED_COLS)} FROM f_mart_lite)) " + " UNION ALL ".join(rows)
+
+
+@query("tree_attributions", _attribution_sql(), ratio="value shap")
+def _(spark, sf):
+    return tree_shap.tree_attributions(_mart(spark, sf), _fixed_model())
+
+
+@query("pseudo_label_rounds", ratio="f1_before f1_after")
+def _(spark, sf):
+    df = _labelled(spark, sf)
+    return pseudo.pseudo_label_rounds(split_side(df, "train"), split_side(df, "predict").drop("status"), TRAIN_COLS)[1]
+
+
 USER_FEATURES = VEC[:8]
 
 

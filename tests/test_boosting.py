@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import boosting as bt
-from ledgerlens.operators import tree_shap
+from ledgerlens.operators import models, pseudo, tree_shap
 
 COLS = [f"x{i}" for i in range(6)]
 
@@ -181,3 +181,43 @@ def test_attributions_of_all_users(spark, users):
     for r in sums:
         assert r["n"] == 6 and abs(tree_shap.base_value(model) + r["s"] - margin[r["user_id"]]) < 1e-9
     assert long.where("feature = 'x4' AND shap <> 0").count() == 0
+
+
+def test_pseudo_labels_kept_and_rolled_back(spark, users):
+    """Clean unlabelled users help or do no harm; users whose features lie about their class make the loop return to the first model."""
+    learner = bt.Params(rounds=8, depth=3, step=0.4)
+    few = users.where("user_id < 200").drop("fold")
+    more = users.where("user_id >= 200").drop("fold", "status")
+    start = bt.fit_models(models.stratified_folds(few.select("user_id", "status", *COLS), 5).where("fold <> 0"), COLS, [bt.Model("m", learner)])["m"]
+    model, rounds = pseudo.pseudo_label_rounds(few, more, COLS, learner, 0.7, 0.3)
+    table = [r.asDict() for r in rounds.orderBy("round").collect()]
+    for a, b in zip(table, table[1:]):
+        assert a["outcome"] == "kept" and b["f1_before"] == a["f1_after"]
+    assert all((r["outcome"] == "kept") == (r["f1_after"] >= r["f1_before"]) for r in table if r["outcome"] != "nothing added")
+    assert table[0]["positives_added"] + table[0]["negatives_added"] + table[0]["remaining"] == 300
+    # a threshold of 0 calls everyone positive: the refitted model is worse and goes
+    model, rounds = pseudo.pseudo_label_rounds(few, more, COLS, learner, 0.0, -1.0)
+    (only,) = rounds.collect()
+    assert only["positives_added"] == 300 and only["f1_after"] < only["f1_before"] and only["outcome"] == "rolled back"
+    x, _ = table()
+    assert np.array_equal(model.margin(x), start.margin(x))
+    # nobody is confident enough
+    _, rounds = pseudo.pseudo_label_rounds(few, more, COLS, learner, 1.1, -0.1)
+    (only,) = rounds.collect()
+    assert only["outcome"] == "nothing added" and only["remaining"] == 300
+
+
+def test_stack_scores_every_user_out_of_fold(spark, users):
+    train = users.drop("fold")
+    stack, oof = models.fit_stack(train, COLS, folds=3, rounds=6)
+    rows = oof.collect()
+    assert len(rows) == 500 and all(0 <= r["risk_score"] <= 1 for r in rows)
+    folds = {r["user_id"]: r["fold"] for r in models.stratified_folds(train.select("user_id", "status"), 3).collect()}
+    x, _ = table()
+    for r in rows[:60]:
+        model = stack.models["boost_b"][folds[r["user_id"]]]
+        assert math.isclose(r["boost_b"], 1 / (1 + math.exp(-model.margin(x[[r["user_id"]]])[0])), rel_tol=1e-12)
+    got = stack.score(users).collect()
+    assert len(got) == 500 and all(0 <= r["risk_score"] <= 1 for r in got)
+    shares = stack.importances()
+    assert len(shares) == 18 and all(math.isclose(sum(v for n, _, v in shares if n == name), 1) for name in stack.models)

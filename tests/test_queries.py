@@ -7,7 +7,7 @@ import __spark_entry__ as entry_module
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 # model fits are covered by test_models and the benchmark; here they only cost time
-SLOW = {"stacked_scores", "submission", "tune", "ablation", "base_models", "feature_importance", "focal_second_pass"}
+SLOW = {"tune", "ablation", "base_models", "feature_importance", "focal_second_pass"}
 
 
 @pytest.fixture(scope="module")
