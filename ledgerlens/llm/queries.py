@@ -213,15 +213,30 @@ FROM cut WHERE full_epochs > 0 OR part > 0"""
 
 LINES_SQL = """
 WITH line AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+token AS (
+  SELECT doc_id, i, unnest(string_split_regex(line, '[\\x20\\x09-\\x0D]')) AS w, unnest(range(1, len(string_split_regex(line, '[\\x20\\x09-\\x0D]')) + 1)) AS j FROM line),
+placed AS (
+  SELECT doc_id, i, j, length(w) AS n, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+    COALESCE(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM token),
+word AS (
+  SELECT *, list_sum(list_transform(range(0, octet_length(encode(w))), lambda k: ('0x' || substr(hex(encode(w)), (2 * k + 1)::INT, 2))::INT)) % 8 = 0 AS closes FROM placed WHERE n > 0),
+numbered AS (
+  SELECT *, lag(i) OVER o IS DISTINCT FROM i OR lag(closes) OVER o AS opens FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i, j)),
 unit AS (
-  SELECT doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
-    COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM line),
-ranked AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS gone FROM unit)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text,
-  COALESCE(count(*) FILTER (gone), 0)::BIGINT AS n_removed, COALESCE(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
-  COALESCE(string_agg(a::BIGINT || '-' || (a + length(line))::BIGINT, ',' ORDER BY i) FILTER (gone), '') AS removed_spans
-FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id GROUP BY d.doc_id, d.text"""
+  SELECT doc_id, u, list(w ORDER BY i, j) AS ws, min(a) AS a, max(a + n) AS b, count(*) AS n
+  FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i, j) AS u FROM numbered) GROUP BY doc_id, u),
+repeated AS (SELECT * FROM unit QUALIFY row_number() OVER (PARTITION BY ws ORDER BY doc_id, u) > 1),
+span AS (
+  SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM (SELECT *, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM repeated)
+  GROUP BY doc_id, run HAVING sum(n) >= 25),
+piece AS (SELECT doc_id, a, b, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (
+  SELECT doc_id, count(*) AS n, sum(b - a) AS chars, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, max(b) AS tail, string_agg(substr(text, before + 1, a - before), '' ORDER BY a) AS head
+  FROM piece JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN cut.doc_id IS NULL THEN text ELSE head || substr(text, tail + 1) END AS text, COALESCE(n, 0)::BIGINT AS n_removed,
+  COALESCE(chars, 0)::BIGINT AS removed_chars, COALESCE(spans, '') AS removed_spans
+FROM documents d LEFT JOIN cut ON d.doc_id = cut.doc_id"""
 
 CONTAMINATION_SQL = """
 WITH w AS (

@@ -62,18 +62,37 @@ def removed_bytes(docs, length=100):
     return out
 
 
-def kept_lines(docs, min_words=5):
+def kept_lines(docs, min_words=25):
+    """(text without repeated passages, spans) of rows (id, text) in the order of the operator."""
     seen, out = {}, []
     for key, text in docs:
-        kept, at, spans = [], 0, []
+        units, at = [], 0
         for line in (text or "").split("\n"):
-            w = tuple(SPACED.findall(lower(line)))
-            if len(w) >= min_words and seen.setdefault(w, (key, at)) != (key, at):
-                spans.append((at, at + len(line)))
-            else:
-                kept.append(line)
+            run = []
+            for m in SPACED.finditer(line):
+                run.append((lower(m[0]), at + m.start(), at + m.end()))
+                if sum(lower(m[0]).encode()) % 8 == 0:
+                    units.append(run)
+                    run = []
+            units += [run] if run else []
             at += len(line) + 1
-        out.append((None if text is None else "\n".join(kept), spans))
+        spans, size, open_ = [], 0, False
+        for k, unit in enumerate(units):
+            if seen.setdefault(tuple(w for w, _, _ in unit), (key, k)) == (key, k):
+                open_ = False
+                continue
+            if not open_:
+                if spans and size < min_words:
+                    spans.pop()
+                spans.append([unit[0][1], unit[-1][2]])
+                size = 0
+            spans[-1][1], size, open_ = unit[-1][2], size + len(unit), True
+        if spans and size < min_words:
+            spans.pop()
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + (text or "")[at:a], b
+        out.append((None if text is None else kept + text[at:], [tuple(s) for s in spans]))
     return out
 
 

@@ -60,9 +60,18 @@ def test_repeated_lines(spark, docs, reports):
         assert [t[a:b] for a, b in spans] == [t[s["first"] : s["last"]] for s in out[d]["removed_spans"]]
     assert lines.drop_repeated_lines(empty(reports)).count() == 0
     # equal rows are one report; a null id is the earliest
-    twice = spark.createDataFrame([(None, "a b c d e\nx"), (1, "A  b c d e\ny"), (1, "A  b c d e\ny"), (2, "q\nA b C d e")], "user_id bigint, report string")
-    got = sorted((r["user_id"] or 0, r["report"]) for r in lines.drop_repeated_lines(twice).collect())
-    assert got == [(0, "a b c d e\nx"), (1, "y"), (1, "y"), (2, "q")]
+    words = [f"w{i}" for i in range(30)]
+    text, other = " ".join(words), "  ".join(words).upper()
+    rows = [(None, f"{text}\nx"), (1, f"{other}\ny"), (1, f"{other}\ny"), (2, f"q\n{text}"), (3, " ".join(words[:20])), (4, None), (5, "")]
+    twice = spark.createDataFrame(rows, "user_id bigint, report string")
+    got = sorted((r["user_id"] or 0, r["report"] or "") for r in lines.drop_repeated_lines(twice).collect())
+    assert got == [(0, f"{text}\nx"), (1, "\ny"), (1, "\ny"), (2, "q\n"), (3, " ".join(words[:20])), (4, ""), (5, "")]
+    # one other word inside a long line costs its own unit, not the passage
+    long = [f"v{i}" for i in range(200)]
+    near = [*(f"u{i}" for i in range(40)), *long[:100], "other", *long[101:], *(f"t{i}" for i in range(40))]
+    pair = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near))], "user_id bigint, report string")
+    first, second = sorted((r["user_id"], r["report"]) for r in lines.drop_repeated_lines(pair).collect())
+    assert first[1] == " ".join(long) and len(second[1].split()) < 81 + 4 * 8 * 3 and "other" in second[1]
 
 
 def test_repeated_strings(spark, docs, reports):
@@ -188,6 +197,12 @@ def test_language(spark, sf_dir, docs, reports):
             assert out[d]["lang_pred"] in model.languages and 0 <= out[d]["score"] <= 1
     assert sum(out[d]["rejected"] for d, t, _ in docs if d < 200) <= 2
     assert langid.train_language_model(empty(reports)) is None
+    assert langid.keep_identified(reports, None).count() == len(docs)
+    many = spark.createDataFrame([(i, f"word {i}", f"l{i % 300}") for i in range(900)], "user_id bigint, report string, lang string")
+    sample = langid.labelled_sample(many, "report", "lang", "user_id", 2)
+    assert {x for _, x in sample} == {f"l{i}" for i in range(300)}
+    with pytest.raises(ValueError):
+        langid.labelled_sample(many, "report", "lang", "user_id", 2, most_languages=299)
     none = langid.identify_language(reports, None).collect()
     assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(docs)
     assert langid.identify_language(empty(reports), model).count() == 0
