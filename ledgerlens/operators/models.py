@@ -181,13 +181,22 @@ def fit_stack(train: DataFrame, cols: list[str], folds: int = FOLDS, rounds: int
     return stack, stack._meta_score(oof).select("user_id", "status", *names, "risk_score")
 
 
-def calibrate(df: DataFrame, folds: int = 3) -> DataFrame:
-    """Isotonic calibration; the score of a row comes from the other folds."""
+# width of the score bins that the isotonic fit runs on
+CALIBRATION_STEP = 1e-4
+
+
+def calibrate(df: DataFrame, folds: int = 3, step: float = CALIBRATION_STEP) -> DataFrame:
+    """Isotonic calibration; the score of a row comes from the other folds.
+
+    The fit runs on the mean label per score bin of width ``step``, weighted by its rows, so that 1 / step rows at
+    most meet in one place, whatever the number of users. A row's calibrated score is interpolated at its own score.
+    """
     data = cut_lineage(stratified_folds(df.select("user_id", "status", "risk_score"), folds))
-    data = data.withColumn("label", F.col("status").cast("double"))
+    at = F.rint(F.col("risk_score") / F.lit(step)) * F.lit(step)
+    bins = cut_lineage(data.groupBy("fold", at.alias("risk_score")).agg(F.avg(F.col("status").cast("double")).alias("label"), F.count("*").cast("double").alias("weight")))
     out = None
     for fold in range(folds):
-        model = IsotonicRegression(featuresCol="risk_score", labelCol="label").fit(data.where(F.col("fold") != fold))
+        model = IsotonicRegression(featuresCol="risk_score", labelCol="label", weightCol="weight").fit(bins.where(F.col("fold") != fold))
         part = model.transform(data.where(F.col("fold") == fold)).select(
             "user_id", "status", "risk_score", F.col("prediction").alias("calibrated_score")
         )
@@ -246,11 +255,27 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
+def importance_models(df: DataFrame, cols: list[str], rounds: int = ROUNDS) -> list[BoostedTrees]:
+    """One model per stratified fold left out, grown in the same jobs."""
+    data = stratified_folds(df.select("user_id", "status", *cols), FOLDS)
+    n = {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
+    weight = max(n.get(0, 0), 1) / max(n.get(1, 0), 1)
+    params = replace(STACK_LEARNERS["boost_a"], rounds=rounds, positive_weight=weight)
+    return list(boosting.fit_models(data, cols, [boosting.Model(f"fold_{k}", params, without=k) for k in range(FOLDS)]).values())
+
+
+def fold_importance(df: DataFrame, cols: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """(feature, importance): the mean over the fold models of the share of each column in the total gain."""
+    fitted = importance_models(df, cols, rounds)
+    rows = [(f"fold_{k}", c, float(v)) for k, m in enumerate(fitted) for c, v in zip(cols, m.importance())]
+    return mean_importance(df.sparkSession.createDataFrame(rows, "model string, feature string, importance double"))
+
+
 def select_features(df: DataFrame, cols: list[str], limit: float = MAX_CORRELATION, importance_rounds: int = 0) -> tuple[list[str], DataFrame]:
     """Kept columns and a report (feature, stage, kept_instead, corr).
 
     Zero variance, then correlated pairs from the strongest down (the one less correlated
-    with the label goes), then protected attributes, then zero tree importance.
+    with the label goes), then protected attributes, then the columns no tree of any of ``FOLDS`` fold models splits on.
     """
     spark = df.sparkSession
     constant = [r["feature"] for r in column_deviation(df, cols).where("zero_variance = 1").collect()]
@@ -269,8 +294,8 @@ def select_features(df: DataFrame, cols: list[str], limit: float = MAX_CORRELATI
     report += [(c, "correlated", w, r) for c, (w, r) in gone.items()]
     report += [(c, "protected", None, None) for c in live if c in PROTECTED and c not in gone]
     if importance_rounds:
-        model = learners(importance_rounds)["boost_a"].fit(cut_lineage(class_weight(assemble(df, kept))))
-        useless = [c for c, v in zip(kept, model.featureImportances.toArray()) if v == 0]
+        fold_models = importance_models(df, kept, importance_rounds)
+        useless = [c for i, c in enumerate(kept) if all(m.importance()[i] == 0 for m in fold_models)]
         report += [(c, "zero_importance", None, None) for c in useless]
         kept = [c for c in kept if c not in useless]
     report += [(c, "kept", None, None) for c in kept]

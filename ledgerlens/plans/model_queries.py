@@ -273,6 +273,11 @@ def _(spark, sf):
     return models.select_features(wide, [*VEC, "twd_dep_mean_copy", "always_one"], importance_rounds=models.ROUNDS)[1]
 
 
+@query("fold_importance", ratio="importance")
+def _(spark, sf):
+    return models.fold_importance(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)
+
+
 @query("base_models", ratio="score")
 def _(spark, sf):
     df = _labelled(spark, sf)

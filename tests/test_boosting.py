@@ -221,3 +221,44 @@ def test_stack_scores_every_user_out_of_fold(spark, users):
     assert len(got) == 500 and all(0 <= r["risk_score"] <= 1 for r in got)
     shares = stack.importances()
     assert len(shares) == 18 and all(math.isclose(sum(v for n, _, v in shares if n == name), 1) for name in stack.models)
+
+
+def test_selection_needs_all_folds(spark, users):
+    wide = users.drop("fold").withColumns({"copy": F.col("x0") * 2, "noise": F.lit(0.0) + (F.col("user_id") == 7).cast("double")})
+    kept, report = models.select_features(wide, [*COLS, "copy", "noise"], importance_rounds=4)
+    stage = {r["feature"]: r["stage"] for r in report.collect()}
+    assert stage["x4"] == "zero_variance" and "correlated" in (stage["x0"], stage["copy"]) and {"x1", "x5"} <= set(kept)
+    fitted = models.importance_models(wide, [c for c in COLS if c != "x4"], 4)
+    used = {c for m in fitted for c, v in zip(m.columns, m.importance()) if v > 0}
+    assert len(fitted) == 5 and len({m.start for m in fitted}) >= 1 and used <= set(COLS)
+    assert stage["noise"] == ("kept" if "noise" in kept else "zero_importance")
+    shares = {r["feature"]: r["importance"] for r in models.fold_importance(wide, COLS, 4).collect()}
+    assert math.isclose(sum(shares.values()), 1) and shares["x4"] == 0
+
+
+def test_calibration_on_bins(spark):
+    """Against pool-adjacent-violators on the same bins."""
+    rng = np.random.default_rng(8)
+    score = np.round(rng.random(900), 3)
+    label = (rng.random(900) < score**2).astype(int)
+    df = spark.createDataFrame([(i, int(y), float(s)) for i, (s, y) in enumerate(zip(score, label))], "user_id bigint, status int, risk_score double")
+    got = {r["user_id"]: r for r in models.calibrate(df, step=0.01).collect()}
+    folds = {r["user_id"]: r["fold"] for r in models.stratified_folds(df, 3).collect()}
+    assert len(got) == 900
+    for fold in range(3):
+        bins = {}
+        for i in range(900):
+            if folds[i] != fold:
+                bins.setdefault(float(np.rint(score[i] / 0.01) * 0.01), []).append(int(label[i]))
+        # the fit sees each fold's bins on their own, which merge at equal scores
+        blocks = [[sum(v), len(v), [k]] for k, v in sorted(bins.items())]
+        out = []
+        for b in blocks:
+            out.append([b[0], b[1], list(b[2])])
+            while len(out) > 1 and out[-2][0] * out[-1][1] >= out[-1][0] * out[-2][1]:
+                s, n, ks = out.pop()
+                out[-1] = [out[-1][0] + s, out[-1][1] + n, out[-1][2] + ks]
+        xs, ys = zip(*[(k, s / n) for s, n, ks in out for k in ks])
+        for i in range(900):
+            if folds[i] == fold:
+                assert abs(got[i]["calibrated_score"] - np.interp(score[i], xs, ys)) < 1e-9
