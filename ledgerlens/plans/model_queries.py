@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_percentiles
-from ..operators import anomaly, blacklist, boosting, explain, graph, mart, models, neighbors, profile, pseudo, tree_shap
+from ..operators import anomaly, blacklist, boosting, explain, graph, mart, models, neighbors, profile, pseudo, search, tree_shap
 from ..operators.scoring import best_threshold, pr_curve
 from ..session import cut_lineage
 from ..sources.fixtures import AS_OF, tables
@@ -320,9 +320,9 @@ def _(spark, sf):
     return models.calibrate(scored(spark, sf))
 
 
-@query("tune", ratio="step sampling f1")
+@query("tune", ratio="step row_share column_share ridge min_hessian weight_factor alpha gamma f1")
 def _(spark, sf):
-    return models.tune(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)
+    return search.tune_learners(split_side(_labelled(spark, sf), "train"), TRAIN_COLS)
 
 
 @query("ablation", ratio="auc_roc auc_pr f1 precision recall fpr delta_auc_pr delta_f1")
