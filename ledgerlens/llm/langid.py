@@ -81,17 +81,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def labelled_sample(reports: DataFrame, report: str, label: str, order: str, per_language: int, most_languages: int = 256) -> list:
+def labelled_sample(reports: DataFrame, report: str, label: str, order: str, per_language: int, most_languages: int = 1024) -> list:
     """At most ``per_language`` labelled rows of each language, chosen by a hash of ``order``; few rows, whatever the input.
 
-    Languages are counted over all rows. Should there be more than ``most_languages``
-    label values, the most frequent ones (ties by name) are learned.
+    Languages are counted over all rows. More than ``most_languages`` label values are an error, as the
+    table of weights has a column for each: none is left out in silence.
     """
     known = reports.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{report}`").isNotNull())
     counts = known.groupBy(F.col(f"`{label}`").alias("language")).count()
-    rows = counts.orderBy(F.desc("count"), "language").limit(most_languages).collect()
+    rows = counts.orderBy(F.desc("count"), "language").limit(most_languages + 1).collect()
     if not rows:
         return []
+    if len(rows) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages, the model has a weight per subword and language")
     draw = F.xxhash64(F.col(f"`{order}`").cast("string"), F.lit("sample"))
     unit = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in rows for x in (r["language"], min(1.0, 2.0 * per_language / r["count"]))])
@@ -218,6 +220,12 @@ def identify_language(reports: DataFrame, model: LanguageModel | None, report: s
 
 
 def keep_identified(reports: DataFrame, model: LanguageModel | None, report: str = "report") -> DataFrame:
-    """The reports that are not rejected, columns unchanged."""
+    """The reports that are not rejected, columns unchanged.
+
+    Defined results: null reports and those without a letter go; without a model (no labelled row) nothing can be
+    judged and all reports stay; reports of any length are read whole; repeated rows stay or go together; an empty table stays empty.
+    """
+    if model is None:
+        return reports
     df, _, rejected = _judged(reports, model, report)
     return df.where(~rejected).select("row.*")
