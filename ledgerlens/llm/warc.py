@@ -76,7 +76,7 @@ def derive_records(responses: DataFrame) -> DataFrame:
     )
     df = df.withColumn("body", F.expr("substring(block, length(head) + 5)"))
     lines = F.split("head", CRLF)
-    headers = F.filter(F.slice(lines, 2, 1 << 20), lambda h: h != "")
+    headers = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda h: h != "")
     media = F.lower(F.regexp_extract("head", r"(?im)^content-type:[ \t]*([^;\r\n \t]*)", 1))
     df = df.select(
         "row", "source", "uri", "date", "body",
